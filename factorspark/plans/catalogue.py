@@ -3,5 +3,6 @@
 from factorspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 from factorspark.plans import (  # noqa: F401
     q_factors,
+    q_scoring,
     q_windows,
 )

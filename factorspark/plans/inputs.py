@@ -38,6 +38,10 @@ CTE = {
         close / lag(close, 1) OVER w - 1 AS ret,
         lead(close, 1) OVER w / close - 1 AS fwd, close, volume
         FROM ud WINDOW w AS (PARTITION BY symbol ORDER BY ts))""",
+    # long-history panel: per supplier and month
+    "sp": """sp AS (SELECT symbol, ts, close, volume, volume * 5e8 AS cap, close / lag(close, 3) OVER w - 1 AS factor,
+        close / lag(close, 1) OVER w - 1 AS ret, lead(close, 1) OVER w / close - 1 AS fwd
+        FROM sm WINDOW w AS (PARTITION BY symbol ORDER BY ts))""",
     # panel in long form
     "fl": """fl AS (SELECT symbol, ts, 'momentum' AS name, factor AS value, fwd FROM fp
         UNION ALL SELECT symbol, ts, 'volume', factor2, fwd FROM fp
@@ -137,6 +141,13 @@ class Inputs:
             (c / F.lag(c, 1).over(R.all) - 1).alias("ret"), (F.lead(c, 1).over(R.all) / c - 1).alias("fwd"),
             "close", "volume")
 
+    @cached_property
+    def sp(self) -> DataFrame:
+        c = F.col("close")
+        return self.sm.select(
+            "symbol", "ts", "close", "volume", (F.col("volume") * 5e8).alias("cap"), (c / F.lag(c, 3).over(R.all) - 1).alias("factor"),
+            (c / F.lag(c, 1).over(R.all) - 1).alias("ret"), (F.lead(c, 1).over(R.all) / c - 1).alias("fwd"))
+
     @cached_property
     def fl(self) -> DataFrame:
         wide = self.fp.select("symbol", "ts", "fwd", F.col("factor").alias("momentum"),

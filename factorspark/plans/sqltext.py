@@ -46,3 +46,31 @@ def ema(x, n, depth=8):
 def avg_rank(x, by):
     """Average rank; callers restrict to rows where x is present."""
     return f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2.0)"
+
+
+def moving_corr(x: str, y: str) -> str:
+    return f"CASE WHEN var_pop({x}) > 1e-18 AND var_pop({y}) > 1e-18 THEN corr({x}, {y}) END"
+
+
+def pearson(src: str, by: str, x: str, y: str, min_n: int = 3, name: str = "ic") -> str:
+    g, sel = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
+    return f"""SELECT {sel}count(*) AS n, {moving_corr(x, y)} AS {name} FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL {g} HAVING count(*) >= {min_n}"""
+
+
+def spearman(src: str, by: str, x: str, y: str, min_n: int = 3, name: str = "rank_ic") -> str:
+    g, sel, part = (f"GROUP BY {by}", f"{by}, ", by) if by else ("", "", "1")
+    return f"""SELECT {sel}count(*) AS n, {moving_corr('rx', 'ry')} AS {name} FROM (
+        SELECT {sel}{avg_rank(x, part)} AS rx, {avg_rank(y, part)} AS ry FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL) {g} HAVING count(*) >= {min_n}"""
+
+
+def norm_cdf(x: str) -> str:
+    t = f"(1.0 / (1.0 + 0.3275911 * abs({x}) / sqrt(2.0)))"
+    poly = f"(((((1.061405429 * {t} - 1.453152027) * {t}) + 1.421413741) * {t} - 0.284496736) * {t} + 0.254829592) * {t}"
+    erf = f"(1.0 - {poly} * exp(-({x}) * ({x}) / 2.0))"
+    return f"(0.5 * (1.0 + CASE WHEN ({x}) >= 0 THEN {erf} ELSE -{erf} END))"
+
+
+def norm_ppf(p: str) -> str:
+    t = f"sqrt(-2.0 * ln(least({p}, 1.0 - ({p}))))"
+    z = f"({t} - (2.515517 + 0.802853 * {t} + 0.010328 * {t} * {t}) / (1.0 + 1.432788 * {t} + 0.189269 * {t} * {t} + 0.001308 * {t} * {t} * {t}))"
+    return f"(CASE WHEN ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) = 0.5 THEN 0.0 WHEN ({p}) > 0.5 THEN {z} ELSE -{z} END)"
