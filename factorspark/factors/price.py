@@ -124,9 +124,9 @@ def lag_grid(df: DataFrame, depth: int = 60, keys=("symbol", "ts"), roll: Roll |
     d = df.withColumn("_past", F.collect_list(F.struct(*fields)).over(roll.frame(depth)))
     cols = []
     for f in fields:
-        base = c("volume") + 1e-12 if f == "volume" else c("close")
-        cols += [div(F.get("_past", F.size("_past") - 1 - i)[f], base).alias(f"{f.upper()}{i}") for i in range(depth)]
-    return d.select(*keys, *cols)
+        base = "(volume + 1e-12D)" if f == "volume" else "close"
+        cols += [f"try_divide(get(_past, size(_past) - {i + 1}).{f}, {base}) AS {f.upper()}{i}" for i in range(depth)]
+    return d.selectExpr(*keys, *cols)
 
 
 def cross_sectional_set(df: DataFrame, keys=("symbol", "ts"), roll: Roll | None = None) -> DataFrame:

@@ -33,20 +33,9 @@ def _tie_bucket(df: DataFrame, tiebreak: str) -> Column:
     return value_bucket(F.col(tiebreak))
 
 
-def ranked(df: DataFrame, by: list[str], value: str, tiebreak: str | None = None,
-           prefix: str = "_") -> DataFrame:
-    """Add ``{prefix}before`` (rows with a smaller value), ``{prefix}ties`` (rows with the same value),
-    ``{prefix}n`` (rows with a value) per group and, with a unique tiebreak, the 1-based ``{prefix}pos``.
-
-    Rows whose value is NULL keep NULL in all of them.
-    """
-    v, tb, b = f"{prefix}v", f"{prefix}tb", f"{prefix}bucket"
-    before, ties, n, pos = (prefix + s for s in ("before", "ties", "n", "pos"))
-    src = df.withColumn(v, F.col(value).cast("double"))
-    keys = [v]
-    if tiebreak:
-        src = src.withColumn(tb, _tie_bucket(df, tiebreak))
-        keys = [v, tb]
+def _value_table(src: DataFrame, by: list[str], keys: list[str], v: str, prefix: str) -> DataFrame:
+    """One row per distinct value (and tie bucket) of a group: rows before it, ties, group size."""
+    before, ties, n, b = prefix + "before", prefix + "ties", prefix + "n", prefix + "bucket"
     counts = (src.filter(F.col(v).isNotNull()).groupBy(*by, *keys).agg(F.count("*").alias("_c"))
               .withColumn(b, value_bucket(F.col(v))))
     buckets = counts.groupBy(*by, b).agg(F.sum("_c").alias("_bc"))
@@ -58,29 +47,59 @@ def ranked(df: DataFrame, by: list[str], value: str, tiebreak: str | None = None
     lower = inside.orderBy(v).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy(*by, b, v)
     counts = counts.join(buckets, [*by, b])
-    counts = counts.withColumn(ties, F.sum("_c").over(same)) if tiebreak else counts.withColumn(ties, F.col("_c"))
+    tied = len(keys) > 1
+    counts = counts.withColumn(ties, F.sum("_c").over(same) if tied else F.col("_c"))
     counts = counts.withColumn(before, F.col("_off") + F.sum("_c").over(lower) - F.col(ties))
-    cols = [*by, *keys, before, ties, n]
+    if tied:
+        earlier = same.orderBy(keys[1]).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn(prefix + "tie_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+        return counts.select(*by, *keys, before, ties, n, prefix + "tie_off")
+    return counts.select(*by, *keys, before, ties, n)
+
+
+def ranked(df: DataFrame, by: list[str], value: str, tiebreak: str | None = None,
+           prefix: str = "_") -> DataFrame:
+    """Add ``{prefix}before`` (rows with a smaller value), ``{prefix}ties`` (rows with the same value),
+    ``{prefix}n`` (rows with a value) per group and, with a unique tiebreak, the 1-based ``{prefix}pos``.
+
+    Rows whose value is NULL keep NULL in all of them.
+    """
+    v, tb = f"{prefix}v", f"{prefix}tb"
+    src = df.withColumn(v, F.col(value).cast("double"))
+    keys = [v]
     if tiebreak:
-        earlier = same.orderBy(tb).rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("_tie_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-        cols.append("_tie_off")
-    out = src.join(counts.select(*cols), [*by, *keys], "left")
+        src = src.withColumn(tb, _tie_bucket(df, tiebreak))
+        keys = [v, tb]
+    out = src.join(_value_table(src, by, keys, v, prefix), [*by, *keys], "left")
     if tiebreak:
         local = Window.partitionBy(*by, v, tb).orderBy(tiebreak)
-        out = out.withColumn(pos, F.when(F.col(v).isNotNull(),
-                                         F.col(before) + F.col("_tie_off") + F.row_number().over(local)))
-        out = out.drop("_tie_off", tb)
+        out = out.withColumn(prefix + "pos", F.when(
+            F.col(v).isNotNull(), F.col(prefix + "before") + F.col(prefix + "tie_off") + F.row_number().over(local)))
+        out = out.drop(prefix + "tie_off", tb)
     return out.drop(v)
 
 
+def avg_ranks(df: DataFrame, by: list[str], outs: dict[str, str], count_out: str | None = None) -> DataFrame:
+    """Average ranks (ties share their mean) of several columns: ``{out: value}``.
+
+    Every value table is counted from the same input, so its plan is evaluated once per column plus
+    once for the rows, and identical exchanges below are reused.
+    """
+    src = df.withColumns({f"_v_{o}": F.col(v).cast("double") for o, v in outs.items()})
+    res = src
+    for i, o in enumerate(outs):
+        p = f"_{o}_"
+        res = res.join(_value_table(src, by, [f"_v_{o}"], f"_v_{o}", p), [*by, f"_v_{o}"], "left")
+        res = res.withColumn(o, F.col(p + "before") + (F.col(p + "ties") + 1) / 2.0)
+        if i == 0 and count_out:
+            res = res.withColumn(count_out, F.col(p + "n"))
+        res = res.drop(p + "before", p + "ties", p + "n")
+    return res.drop(*[f"_v_{o}" for o in outs])
+
+
 def avg_rank(df: DataFrame, by: list[str], value: str, out: str, count_out: str | None = None) -> DataFrame:
-    """Average rank (ties share their mean) of ``value`` inside each group."""
-    r = ranked(df, by, value, prefix="_r_")
-    r = r.withColumn(out, F.col("_r_before") + (F.col("_r_ties") + 1) / 2.0)
-    if count_out:
-        r = r.withColumn(count_out, F.col("_r_n"))
-    return r.drop("_r_before", "_r_ties", "_r_n")
+    """Average rank of one column inside each group."""
+    return avg_ranks(df, by, {out: value}, count_out)
 
 
 def cs_rank(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
@@ -156,7 +175,7 @@ def winsor_bounds(df: DataFrame, by: list[str], value: str, qs: list[float]) ->
 def rank_corr(df: DataFrame, by: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """Spearman correlation per group on average ranks of complete pairs; ``n`` pairs."""
     d = df.select(*by, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = avg_rank(avg_rank(d, by, x, "_rx"), by, y, "_ry")
+    d = avg_ranks(d, by, {"_rx": x, "_ry": y})
     agg = [F.count("*").alias("n"), corr("_rx", "_ry").alias("rank_ic")]
     g = d.groupBy(*by).agg(*agg) if by else d.agg(*agg)
     return g.filter(F.col("n") >= min_n)

@@ -17,16 +17,26 @@ def bucket(ts: str, freq: str) -> Column:
     return F.window(F.col(ts), freq)["start"]
 
 
-def bars_from_ticks(df: DataFrame, freq: str, price: str, size: str, order: list[str], by: str = "symbol") -> DataFrame:
-    """Open/high/low/close/volume per symbol and bucket.
+def order_key(ts: str, tie: Column) -> Column:
+    """Instant and tie-breaking integer packed into one decimal.
+
+    A struct would say the same, but only fixed-width buffers let ``min_by`` / ``max_by`` run as a hash
+    aggregate; with a struct every task would sort all its ticks first.
+    """
+    return (F.unix_micros(F.col(ts)).cast("decimal(17,0)") * F.lit(10 ** 18).cast("decimal(19,0)")
+            + tie.cast("decimal(18,0)")).cast("decimal(37,0)")
+
+
+def bars_from_ticks(df: DataFrame, freq: str, price: str, size: str, tie: Column, by: str = "symbol") -> DataFrame:
+    """Open/high/low/close/volume per symbol and bucket; ``tie`` orders ticks of the same instant.
 
     Every aggregate combines map-side, so a symbol holding most ticks still sends one partial row per
     task and bucket through the shuffle.
     """
-    at = F.struct(*order)
-    return (df.groupBy(by, bucket("ts", freq).alias("_b"))
-            .agg(F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-                 F.max_by(price, at).alias("close"), F.sum(size).alias("volume"), F.count("*").alias("trades"))
+    d = df.withColumn("_at", order_key("ts", tie))
+    return (d.groupBy(by, bucket("ts", freq).alias("_b"))
+            .agg(F.min_by(price, "_at").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+                 F.max_by(price, "_at").alias("close"), F.sum(size).alias("volume"), F.count("*").alias("trades"))
             .withColumnRenamed("_b", "ts")
             .select(by, "ts", "open", "high", "low", "close", "volume", "trades"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark import schemas
+from factorspark.functions.math import div
 from factorspark.operators.resample import bars_from_ticks
 from factorspark.operators.windows import Roll
 
@@ -32,15 +33,15 @@ CTE = {
         sum(l_quantity) AS volume, count(*) AS trades
         FROM lineitem GROUP BY 1, 2)""",
     # factor panel: 3-day momentum against the next day's return, per user and day
-    "fp": """fp AS (SELECT symbol, ts, close / lag(close, 3) OVER w - 1 AS factor,
-        volume / (avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) - 1 AS factor2,
-        high / low - 1 AS factor3,
-        close / lag(close, 1) OVER w - 1 AS ret,
-        lead(close, 1) OVER w / close - 1 AS fwd, close, volume
+    "fp": """fp AS (SELECT symbol, ts, close / NULLIF(lag(close, 3) OVER w, 0) - 1 AS factor,
+        volume / NULLIF(avg(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0) - 1 AS factor2,
+        high / NULLIF(low, 0) - 1 AS factor3,
+        close / NULLIF(lag(close, 1) OVER w, 0) - 1 AS ret,
+        lead(close, 1) OVER w / NULLIF(close, 0) - 1 AS fwd, close, volume
         FROM ud WINDOW w AS (PARTITION BY symbol ORDER BY ts))""",
     # long-history panel: per supplier and month
-    "sp": """sp AS (SELECT symbol, ts, close, volume, volume * 5e8 AS cap, close / lag(close, 3) OVER w - 1 AS factor,
-        close / lag(close, 1) OVER w - 1 AS ret, lead(close, 1) OVER w / close - 1 AS fwd
+    "sp": """sp AS (SELECT symbol, ts, close, volume, volume * 5e8 AS cap, close / NULLIF(lag(close, 3) OVER w, 0) - 1 AS factor,
+        close / NULLIF(lag(close, 1) OVER w, 0) - 1 AS ret, lead(close, 1) OVER w / NULLIF(close, 0) - 1 AS fwd
         FROM sm WINDOW w AS (PARTITION BY symbol ORDER BY ts))""",
     # panel in long form
     "fl": """fl AS (SELECT symbol, ts, 'momentum' AS name, factor AS value, fwd FROM fp
@@ -60,19 +61,19 @@ CTE = {
         (b.open - 50) / 10000 AS funding_rate, b.volume * 3 AS open_interest, b.volume * b.close AS open_interest_value,
         (b.high - b.close) AS liquidation_long, (b.close - b.low) AS liquidation_short,
         b.high - b.low AS liquidation_volume,
-        (1 + b.high) / (1 + b.open) AS long_short_ratio, b.high / (b.high + b.low) AS long_ratio, b.low / (b.high + b.low) AS short_ratio,
-        b.close - (b.high + b.low) / 2 AS basis, (b.close - (b.high + b.low) / 2) / ((b.high + b.low) / 2) AS basis_rate,
+        (1 + b.high) / (1 + b.open) AS long_short_ratio, b.high / NULLIF(b.high + b.low, 0) AS long_ratio, b.low / NULLIF(b.high + b.low, 0) AS short_ratio,
+        b.close - (b.high + b.low) / 2 AS basis, (b.close - (b.high + b.low) / 2) / NULLIF((b.high + b.low) / 2, 0) AS basis_rate,
         b.close AS mark_price, (b.high + b.low) / 2 AS index_price, b.close - (b.high + b.low) / 2 AS premium,
         b.open + b.high AS buy_volume, b.low + b.close AS sell_volume,
-        (b.open + b.high) / (b.open + b.high + b.low + b.close) AS buy_sell_ratio,
-        (b.open - b.close) / (b.open + b.close) AS bid_ask_imbalance, b.high - b.low AS spread
+        (b.open + b.high) / NULLIF(b.open + b.high + b.low + b.close, 0) AS buy_sell_ratio,
+        (b.open - b.close) / NULLIF(b.open + b.close, 0) AS bid_ask_imbalance, b.high - b.low AS spread
         FROM th b)""",
     # daily long-short return series of the panel: one row per date
     "daily": """daily AS (SELECT ts, avg(ret) AS ret, avg(CASE WHEN symbol % 2 = 0 THEN ret END) AS bench FROM fp WHERE ret IS NOT NULL GROUP BY 1)""",
     # returns per hourly series
-    "hret": """hret AS (SELECT symbol, ts, close, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS raw_ret,
-        CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) > 1 THEN
-        greatest(-0.05, least(0.05, (close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1) / 100)) END AS ret FROM th)""",
+    "hret": """hret AS (SELECT symbol, ts, close, close / NULLIF(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS raw_ret,
+        CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY ts) <> 0 THEN
+        greatest(-0.05, least(0.05, (close / NULLIF(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1) / 100)) END AS ret FROM th)""",
     # cross-sectional position per user-day
     "trials": """trials AS (SELECT p_partkey AS trial, p_brand AS family, p_retailprice / 1000 AS sharpe,
         (p_size - 25) / 400.0 AS ic, p_retailprice / 800 AS ir, p_type AS status FROM part)""",
@@ -117,36 +118,36 @@ class Inputs:
     @cached_property
     def ud(self) -> DataFrame:
         e = self.table("events").select(F.col("user_id").alias("symbol"), "ts", "value", "event_id")
-        return bars_from_ticks(e, "1 day", "value", "value", ["ts", "event_id"])
+        return bars_from_ticks(e, "1 day", "value", "value", F.col("event_id"))
 
     @cached_property
     def th(self) -> DataFrame:
         e = self.table("events").select(F.col("event_type").alias("symbol"), "ts", "value", "event_id")
-        return bars_from_ticks(e, "1 hour", "value", "value", ["ts", "event_id"])
+        return bars_from_ticks(e, "1 hour", "value", "value", F.col("event_id"))
 
     @cached_property
     def sm(self) -> DataFrame:
         li = self.table("lineitem").select(
             F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity"), "l_orderkey", "l_linenumber")
-        return bars_from_ticks(li, "month", "price", "l_quantity", ["ts", "l_orderkey", "l_linenumber"])
+        return bars_from_ticks(li, "month", "price", "l_quantity", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
 
     @cached_property
     def fp(self) -> DataFrame:
         c = F.col("close")
         return self.ud.select(
-            "symbol", "ts", (c / F.lag(c, 3).over(R.all) - 1).alias("factor"),
-            (F.col("volume") / F.avg("volume").over(R.frame(5)) - 1).alias("factor2"),
-            (F.col("high") / F.col("low") - 1).alias("factor3"),
-            (c / F.lag(c, 1).over(R.all) - 1).alias("ret"), (F.lead(c, 1).over(R.all) / c - 1).alias("fwd"),
+            "symbol", "ts", (div(c, F.lag(c, 3).over(R.all)) - 1).alias("factor"),
+            (div(F.col("volume"), F.avg("volume").over(R.frame(5))) - 1).alias("factor2"),
+            (div(F.col("high"), F.col("low")) - 1).alias("factor3"),
+            (div(c, F.lag(c, 1).over(R.all)) - 1).alias("ret"), (div(F.lead(c, 1).over(R.all), c) - 1).alias("fwd"),
             "close", "volume")
 
     @cached_property
     def sp(self) -> DataFrame:
         c = F.col("close")
         return self.sm.select(
-            "symbol", "ts", "close", "volume", (F.col("volume") * 5e8).alias("cap"), (c / F.lag(c, 3).over(R.all) - 1).alias("factor"),
-            (c / F.lag(c, 1).over(R.all) - 1).alias("ret"), (F.lead(c, 1).over(R.all) / c - 1).alias("fwd"))
+            "symbol", "ts", "close", "volume", (F.col("volume") * 5e8).alias("cap"), (div(c, F.lag(c, 3).over(R.all)) - 1).alias("factor"),
+            (div(c, F.lag(c, 1).over(R.all)) - 1).alias("ret"), (div(F.lead(c, 1).over(R.all), c) - 1).alias("fwd"))
 
     @cached_property
     def fl(self) -> DataFrame:
@@ -188,10 +189,10 @@ class Inputs:
             "symbol", "ts", "open", "high", "low", "close", "volume",
             ((o - 50) / 10000).alias("funding_rate"), (v * 3).alias("open_interest"), (v * c).alias("open_interest_value"),
             (h - c).alias("liquidation_long"), (c - lo).alias("liquidation_short"), (h - lo).alias("liquidation_volume"),
-            ((1 + h) / (1 + o)).alias("long_short_ratio"), (h / (h + lo)).alias("long_ratio"), (lo / (h + lo)).alias("short_ratio"),
-            (c - mid).alias("basis"), ((c - mid) / mid).alias("basis_rate"), c.alias("mark_price"), mid.alias("index_price"),
+            ((1 + h) / (1 + o)).alias("long_short_ratio"), div(h, h + lo).alias("long_ratio"), div(lo, h + lo).alias("short_ratio"),
+            (c - mid).alias("basis"), div(c - mid, mid).alias("basis_rate"), c.alias("mark_price"), mid.alias("index_price"),
             (c - mid).alias("premium"), (o + h).alias("buy_volume"), (lo + c).alias("sell_volume"),
-            ((o + h) / (o + h + lo + c)).alias("buy_sell_ratio"), ((o - c) / (o + c)).alias("bid_ask_imbalance"),
+            div(o + h, o + h + lo + c).alias("buy_sell_ratio"), div(o - c, o + c).alias("bid_ask_imbalance"),
             (h - lo).alias("spread"))
 
     @cached_property
@@ -201,7 +202,7 @@ class Inputs:
 
     @cached_property
     def hret(self) -> DataFrame:
-        raw = F.col("close") / F.lag("close").over(R.all) - 1
+        raw = div(F.col("close"), F.lag("close").over(R.all)) - 1
         return (self.th.select("symbol", "ts", "close", raw.alias("raw_ret"))
                 .withColumn("ret", F.when(F.col("raw_ret").isNotNull(),
                                           F.greatest(F.lit(-0.05), F.least(F.lit(0.05), F.col("raw_ret") / 100)))))

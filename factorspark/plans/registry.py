@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,9 +28,9 @@ def query(name: str, sql: str | None = None, use: str = "", rnd: str = "", digit
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(Inputs(spark, sf_dir))
-            fixed = {c: F.round(F.col(c).cast("double") + F.lit(shift), digits) + F.lit(0.0) for c in cols}
-            fixed |= {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in times}
-            return df.withColumns(fixed) if fixed else df
+            fixed = {c: f"round(cast(`{c}` AS DOUBLE) + {shift:.12f}D, {digits}) + 0D AS `{c}`" for c in cols}
+            fixed |= {c: f"date_format(`{c}`, 'yyyy-MM-dd HH:mm:ss') AS `{c}`" for c in times}
+            return df.selectExpr(*[fixed.get(c, f"`{c}`") for c in df.columns]) if fixed else df
 
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
