@@ -103,11 +103,11 @@ def ml_signal(df: DataFrame, by: list[str], pred: str = "prediction", clip: floa
 def position_sizes(stats: DataFrame, capital: float, kelly_fraction: float = 0.5, max_pct: float = 0.25, fixed_pct: float = 0.1,
                    target_risk: float = 0.02) -> DataFrame:
     """Kelly, fixed and risk-parity sizes from trade statistics per key."""
-    from factorspark.functions.math import div
+    from factorspark.functions.math import clip as math_clip, div
     b = div(F.col("mean_win"), F.col("mean_loss"))
     f = div(F.col("win_rate") * b - (1 - F.col("win_rate")), b) * kelly_fraction
     return stats.select(
-        "symbol", (F.greatest(F.lit(0.0), F.least(f, F.lit(max_pct))) * capital).alias("kelly"), F.lit(capital * fixed_pct).alias("fixed"),
+        "symbol", (F.coalesce(math_clip(f, 0.0, max_pct), F.lit(0.0)) * capital).alias("kelly"), F.lit(capital * fixed_pct).alias("fixed"),
         (div(F.lit(target_risk), F.col("mean_loss")) * capital).alias("risk_parity"))
 
 

@@ -4,6 +4,7 @@ from factorspark.plans.registry import ORACLE, QUERIES  # noqa: F401
 from factorspark.plans import (  # noqa: F401
     q_align,
     q_factors,
+    q_folds,
     q_performance,
     q_scoring,
     q_windows,
