@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorspark.operators import cross_section as cs
@@ -96,15 +96,18 @@ def backtest_stats(df: DataFrame, today: Column) -> DataFrame:
 def trial_budget(trials: DataFrame, per_id: int = 20, total: int = 1000, cooldown_minutes: float = 30.0, ts: str = "ts", tiebreak: str = "trial") -> DataFrame:
     """Per trial: earlier trials of its hypothesis, earlier trials in total, minutes since its last one, and the verdict.
 
-    A hypothesis id is a hash of family and text; its window is bounded by the trial limit in practice, and the
-    overall count comes from the two-level rank.
+    Counts are two-level ranks and the previous trial comes from a chunked lag, so neither the ledger nor
+    a hypothesis tried very often is ever one window group.
     """
+    from factorspark.operators.quality import chunked_lag
     hid = F.substring(F.md5(F.lower(F.concat_ws(":", "family", "hypothesis"))), 1, 12)
-    d = cs.ranked(trials.withColumn("hypothesis_id", hid).withColumn("_sec", F.unix_timestamp(ts)), [], "_sec", tiebreak, prefix="_b_")
-    d = d.withColumn("total_before", F.col("_b_pos") - 1)
-    w = Window.partitionBy("hypothesis_id").orderBy(ts, tiebreak)
-    d = d.withColumns({"id_before": F.row_number().over(w) - 1,
-                       "minutes_since": (F.col("_sec") - F.lag("_sec").over(w)) / 60})
+    d = trials.withColumn("hypothesis_id", hid).withColumn("_sec", F.unix_timestamp(ts))
+    d = cs.ranked(d, [], "_sec", tiebreak, prefix="_b_").withColumn("total_before", F.col("_b_pos") - 1)
+    d = d.drop("_b_before", "_b_ties", "_b_n", "_b_pos")
+    d = cs.ranked(d, ["hypothesis_id"], "_sec", tiebreak, prefix="_h_").withColumn("id_before", F.col("_h_pos") - 1)
+    d = d.drop("_h_before", "_h_ties", "_h_n", "_h_pos")
+    d = chunked_lag(d, "hypothesis_id", ts, tiebreak, "_sec", "_prev_sec", "month")
+    d = d.withColumn("minutes_since", (F.col("_sec") - F.col("_prev_sec")) / 60)
     verdict = (F.when(F.col("total_before") >= total, "total limit").when(F.col("id_before") >= per_id, "hypothesis limit")
                .when(F.col("minutes_since") < cooldown_minutes, "cooldown").otherwise("ok"))
-    return d.withColumn("verdict", verdict).drop("_sec", "_b_before", "_b_ties", "_b_n", "_b_pos")
+    return d.withColumn("verdict", verdict).drop("_sec", "_prev_sec")

@@ -5,6 +5,7 @@ from factorspark.plans import (  # noqa: F401
     q_align,
     q_factors,
     q_folds,
+    q_library,
     q_performance,
     q_scoring,
     q_windows,
