@@ -8,5 +8,6 @@ from factorspark.plans import (  # noqa: F401
     q_library,
     q_performance,
     q_scoring,
+    q_sources,
     q_windows,
 )
