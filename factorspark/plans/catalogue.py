@@ -9,5 +9,6 @@ from factorspark.plans import (  # noqa: F401
     q_performance,
     q_scoring,
     q_sources,
+    q_streaming,
     q_windows,
 )

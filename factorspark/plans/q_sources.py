@@ -243,9 +243,9 @@ def _(t):
     return ve.knn(_cen(t), t.embeddings, 5, 0.1, family=3)
 
 
-@query("v02_near_duplicates", "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sims) WHERE r = 1 AND score >= 0.5", "cen", "score")
+@query("v02_near_duplicates", "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sims) WHERE r = 1 AND score >= 0.25", "cen", "score")
 def _(t):
-    return ve.near_duplicates(_cen(t), t.embeddings, 0.5)
+    return ve.near_duplicates(_cen(t), t.embeddings, 0.25)
 
 
 @query("v03_similarity_matrix", "SELECT a.query_id AS a, b.query_id AS b, list_dot_product(a.q, b.q) / sqrt(list_dot_product(a.q, a.q) * list_dot_product(b.q, b.q)) AS score FROM cen a, cen b", "cen", "score")
