@@ -21,6 +21,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: str = "symbol", on: str = "
     """Each left row with the latest right row at or before it (or first at or after it).
 
     ``right_ts`` names an output column for the matched right time. Right times are unique per key.
+    ``chunk`` is a ``date_trunc`` unit: days suit bars, minutes suit raw ticks of busy keys.
     """
     values = values or [c for c in right.columns if c not in (by, on)]
     back = direction == "backward"

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from factorspark.functions.math import corr
 
-# Buckets per power of two. The bucket table of one group has at most a few thousand rows.
-RESOLUTION = 256
+# Buckets per power of two. Values spread over ten octaves give 160,000 buckets: the bucket table of a group
+# stays small enough for one running sum, and a group of 10^12 distinct values has a few million per bucket.
+RESOLUTION = 16384
 
 
 def value_bucket(x: Column, resolution: int = RESOLUTION) -> Column:

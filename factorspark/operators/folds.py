@@ -1,7 +1,8 @@
 """Cross-validation folds by date.
 
 Folds are cut on the distinct dates, never on row numbers, so one date never straddles two folds. The
-date table has one row per calendar date; it is indexed on its own and joined back by broadcast.
+date table has one row per calendar date (times the folds), a bound the calendar proves, so it is indexed on
+its own and joined back by broadcast.
 """
 
 from __future__ import annotations
@@ -9,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.session import broadcast_if_small
-
 
 def date_index(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Distinct dates with a dense 0-based index ``_i`` and their number ``_n``."""
@@ -67,7 +66,7 @@ def fold_table(dates: DataFrame, scheme: str, ts: str = "ts", train=0.6, valid=0
 
 def assign_folds(df: DataFrame, scheme: str, ts: str = "ts", **kw) -> DataFrame:
     """Rows with their fold and role; a row appears once per fold that uses its date."""
-    return df.join(broadcast_if_small(fold_table(date_index(df, ts), scheme, ts, **kw)), ts)
+    return df.join(F.broadcast(fold_table(date_index(df, ts), scheme, ts, **kw)), ts)
 
 
 def regime_split(df: DataFrame, label: str, train=0.6, valid=0.2, ts: str = "ts") -> DataFrame:
@@ -96,7 +95,7 @@ def walk_forward_folds(panel: DataFrame, scheme: str = "walk", x="factor", y="fw
     from factorspark.operators import performance as pf
     from factorspark.operators import scoring as sc
     folds = fold_table(date_index(panel), scheme, **kw).filter(F.col("role").isin("train", "test"))
-    folds = broadcast_if_small(folds)
+    folds = F.broadcast(folds)
     ic = cs.rank_corr(panel.select("ts", x, y).join(folds, "ts"), ["fold", "role"], x, y)
     ls = sc.long_short_returns(panel.select("symbol", "ts", x, y), x=x, y=y).join(folds, "ts")
     sh = ls.groupBy("fold", "role").agg(pf.sharpe(F.col("ls_ret"), ppy).alias("sharpe"))
@@ -123,7 +122,7 @@ def cv_sharpe(df: DataFrame, ppy: float, ret: str = "ret", n_splits: int = 5) ->
     from factorspark.functions.math import norm_cdf
     from factorspark.operators import performance as pf
     f = fold_table(date_index(df), "purged", n_splits=n_splits).filter("role = 'test'")
-    per = df.join(broadcast_if_small(f), "ts").groupBy("fold").agg(pf.sharpe(F.col(ret), ppy).alias("s")).filter(F.col("s").isNotNull())
+    per = df.join(F.broadcast(f), "ts").groupBy("fold").agg(pf.sharpe(F.col(ret), ppy).alias("s")).filter(F.col("s").isNotNull())
     g = per.agg(F.avg("s").alias("cv_mean"), F.stddev_samp("s").alias("cv_std"), F.count("*").alias("n_folds"))
     ratio = F.when(F.abs("cv_mean") >= 0.01, F.col("cv_std") / F.abs("cv_mean"))
     t = F.col("cv_mean") / (F.col("cv_std") / F.sqrt(F.col("n_folds").cast("double")))

@@ -25,10 +25,9 @@ def fit_ic_linear(long_df: DataFrame, split: str | None = None) -> DataFrame:
 def _time_split(df: DataFrame, train: float, valid: float) -> DataFrame:
     """Mark rows by date: 0 train, 1 validation, 2 test."""
     from factorspark.operators.folds import date_index
-    from factorspark.session import broadcast_if_small
     d = date_index(df)
     part = F.when(F.col("_i") < F.floor(F.col("_n") * train), 0).when(F.col("_i") < F.floor(F.col("_n") * (train + valid)), 1).otherwise(2)
-    return df.join(broadcast_if_small(d.select("ts", part.alias("part"))), "ts")
+    return df.join(F.broadcast(d.select("ts", part.alias("part"))), "ts")  # one row per date
 
 
 def _assemble(df: DataFrame, features: list[str], target: str) -> DataFrame:

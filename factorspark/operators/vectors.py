@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from factorspark.functions import vectors as fv
 from factorspark.operators import cross_section as cs
 
-# Largest query block sent to tasks at once: 4096 vectors of 1024 floats are 32 MB.
-BLOCK = 4096
+# Largest query block sent to tasks at once: 1024 vectors of 1024 floats are 8 MB, and a block times one Arrow
+# batch of 10,000 rows is 80 MB of scores.
+BLOCK = 1024
 
 
 def centroids(df: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
@@ -37,21 +38,21 @@ def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_scor
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q = bc.value
-        best_s, best_i = np.full((len(qid), 0), 0.0), np.empty((len(qid), 0), dtype=object)
+        best = pd.DataFrame({"q": [], id_col: [], "score": []})
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
             n = np.linalg.norm(x, axis=1, keepdims=True)
             s = q @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
-            best_s = np.hstack([best_s, s])
-            best_i = np.hstack([best_i, np.broadcast_to(pdf[id_col].to_numpy(dtype=object), s.shape)])
-            if best_s.shape[1] > k:
-                # equal scores: the smaller id wins, as in the final merge
-                order = np.stack([np.lexsort((best_i[r].astype(np.int64), -best_s[r]))[:k] for r in range(len(qid))])
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        r, c = np.nonzero(best_s >= min_score)
-        yield pd.DataFrame({"query_id": [qid[i] for i in r], id_col: best_i[r, c].astype(np.int64), "score": best_s[r, c]})
+            floor = np.full(len(qid), min_score)
+            if s.shape[1] > k:
+                floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+            r, c = np.nonzero(s >= floor[:, None])
+            got = pd.DataFrame({"q": r, id_col: pdf[id_col].to_numpy()[c], "score": s[r, c]})
+            # equal scores: the smaller id wins, as in the final merge
+            best = pd.concat([best, got]).sort_values(["q", "score", id_col], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+        yield pd.DataFrame({"query_id": [qid[int(i)] for i in best["q"]], id_col: best[id_col].astype(np.int64), "score": best["score"].astype(float)})
 
     return vectors.select(id_col, vec).mapInPandas(scan, f"query_id {qtype}, {id_col} BIGINT, score DOUBLE")
 

@@ -96,9 +96,9 @@ def _(t):
        """SELECT e.event_id, e.event_type AS symbol, e.ts, f.funding_rate FROM events e ASOF LEFT JOIN fund8 f ON e.event_type = f.symbol AND e.ts >= f.ts""",
        "fund8", "funding_rate @ts", 8)
 def _(t):
-    """Raw ticks on the left: a hot symbol is split into day chunks."""
+    """Raw ticks on the left: a hot symbol is split into minute chunks."""
     e = t.events.select(F.col("event_type").alias("symbol"), "ts", "event_id")
-    return aj.asof_join(e, t.fund8)
+    return aj.asof_join(e, t.fund8, chunk="minute")
 
 
 @query("j02_asof_forward",

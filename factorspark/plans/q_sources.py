@@ -18,6 +18,7 @@ from factorspark.plans.inputs import CTE, R
 from factorspark.plans.registry import query
 from factorspark.session import scratch_path
 from factorspark.sources import bars as sb
+from factorspark.sources import database as db
 from factorspark.sources import landing as la
 from factorspark.sources import store as st
 
@@ -39,6 +40,44 @@ def _(t):
     return sb.read_bars_parquet(t.spark, path).select("symbol", "ts", "close")
 
 
+def _stored(t, d, name):
+    """A stored market table, here as Parquet; a database table goes through the same scan."""
+    path = scratch_path(t.spark, name)
+    d.withColumnRenamed("ts", "timestamp").withColumns({"exchange": F.lit("binance"), "timeframe": F.lit("1h"), "market_type": F.lit("futures")}).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+_RANGE = "ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'"
+
+
+@query("s03_read_bars", f"SELECT symbol, ts, open, high, low, close, volume FROM th WHERE symbol = 'view' AND {_RANGE}", "th", "open high low close volume @ts")
+def _(t):
+    return db.read_bars_jdbc(_stored(t, t.th, "ohlcv"), "2024-01-05", "2024-01-20", "view", "1h", "binance", "futures")
+
+
+@query("s04_read_funding", f"SELECT symbol, ts, funding_rate FROM fund8 WHERE {_RANGE}", "fund8", "funding_rate @ts")
+def _(t):
+    return db.read_funding(_stored(t, t.fund8, "funding"), "2024-01-05", "2024-01-20")
+
+
+@query("s05_read_open_interest", "SELECT symbol, ts, open_interest FROM oi WHERE symbol = 'click'", "oi", "open_interest @ts")
+def _(t):
+    return db.read_open_interest(_stored(t, t.oi, "oi"), symbol="click")
+
+
+@query("s06_read_ls_ratio", f"SELECT symbol, ts, 'global' AS ratio_type, long_short_ratio FROM ls WHERE {_RANGE}", "ls", "long_short_ratio @ts")
+def _(t):
+    both = t.ls.withColumn("ratio_type", F.explode(F.array(F.lit("global"), F.lit("top"))))
+    return db.read_ls_ratio(_stored(t, both, "ls"), "2024-01-05", "2024-01-20", ratio_type="global")
+
+
+@query("s07_read_liquidations",
+       f"""SELECT symbol, ts, side, quantity, price, value_usd, CASE WHEN side = 'sell' THEN value_usd ELSE 0 END AS liquidation_long, CASE WHEN side = 'buy' THEN value_usd ELSE 0 END AS liquidation_short
+       FROM liq WHERE {_RANGE}""", "liq", "quantity price value_usd liquidation_long liquidation_short @ts")
+def _(t):
+    return db.read_liquidations(_stored(t, t.liq, "liq"), "2024-01-05", "2024-01-20")
+
+
 @query("s08_json_ledger", "SELECT trial, family, sharpe, sharpe >= 1.2 AS passed, CAST(trial AS VARCHAR) AS note FROM trials", "trials", "sharpe")
 def _(t):
     path = scratch_path(t.spark, "ledger")

@@ -10,12 +10,12 @@ from factorspark.session import scratch_path
 from factorspark.sources.store import append_new
 
 
-def read_event_stream(spark: SparkSession, path: str, schema: str = schemas.EVENTS, files_per_trigger: int | None = None) -> DataFrame:
-    """File stream of Parquet events with a fixed schema; ``files_per_trigger`` bounds a micro-batch."""
-    r = spark.readStream.schema(schema)
-    if files_per_trigger:
-        r = r.option("maxFilesPerTrigger", files_per_trigger)
-    return r.parquet(path)
+def read_event_stream(spark: SparkSession, path: str, schema: str = schemas.EVENTS, files_per_trigger: int = 64) -> DataFrame:
+    """File stream of Parquet events with a fixed schema.
+
+    ``files_per_trigger`` bounds a micro-batch, and with it what one key can bring to a stateful call.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
 def read_event_topic(spark: SparkSession, servers: str, topic: str, schema: str = schemas.EVENTS) -> DataFrame:
