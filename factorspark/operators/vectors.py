@@ -38,7 +38,7 @@ def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_scor
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         qid, q = bc.value
-        best = pd.DataFrame({"q": [], id_col: [], "score": []})
+        best = None
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -51,7 +51,10 @@ def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_scor
             r, c = np.nonzero(s >= floor[:, None])
             got = pd.DataFrame({"q": r, id_col: pdf[id_col].to_numpy()[c], "score": s[r, c]})
             # equal scores: the smaller id wins, as in the final merge
-            best = pd.concat([best, got]).sort_values(["q", "score", id_col], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+            both = got if best is None else pd.concat([best, got])
+            best = both.sort_values(["q", "score", id_col], ascending=[True, False, True]).groupby("q", sort=False).head(k)
+        if best is None:
+            return
         yield pd.DataFrame({"query_id": [qid[int(i)] for i in best["q"]], id_col: best[id_col].astype(np.int64), "score": best["score"].astype(float)})
 
     return vectors.select(id_col, vec).mapInPandas(scan, f"query_id {qtype}, {id_col} BIGINT, score DOUBLE")

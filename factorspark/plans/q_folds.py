@@ -17,7 +17,7 @@ from factorspark.plans.registry import query
 
 _DI = "di AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM sp))"
 _FOLD = {
-    "sequential": "SELECT ts, 0 AS fold, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.6) + floor(n * 0.2) THEN 'valid' ELSE 'test' END AS role FROM di",
+    "sequential": "SELECT ts, CAST(0 AS BIGINT) AS fold, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.6) + floor(n * 0.2) THEN 'valid' ELSE 'test' END AS role FROM di",
     "rolling": """SELECT ts, fold, CASE WHEN i >= fold * 12 AND i < fold * 12 + 14 THEN 'train' WHEN i >= fold * 12 + 14 AND i < fold * 12 + 24 THEN 'test' END AS role
         FROM di, (SELECT unnest(generate_series(0, 20)) AS fold) WHERE fold * 12 + 24 < n AND i >= fold * 12 AND i < fold * 12 + 24""",
     "walk": """SELECT ts, fold, CASE WHEN i < fold * 12 + 24 THEN 'train' ELSE 'test' END AS role

@@ -165,17 +165,19 @@ def _(t):
     return io.drain(state.trailing_exits(s, 0.5), "exits")
 
 
-CTE["ev8"] = "rt AS (SELECT event_type AS symbol, ts, value / 10000 AS funding_rate FROM events WHERE event_id % 10 = 0)"
+CTE["rt"] = "rt AS (SELECT event_type AS symbol, ts, max(value) / 10000 AS funding_rate FROM events WHERE event_id % 10 = 0 GROUP BY 1, 2)"
 
 
 @query("t15_asof_stream",
-       f"""SELECT e.event_id, e.event_type AS symbol, e.ts, max(r.ts) AS rate_ts, arg_max(r.funding_rate, r.ts) AS funding_rate FROM events e LEFT JOIN rt r ON e.event_type = r.symbol AND r.ts <= e.ts AND r.ts >= e.ts - INTERVAL 8 HOUR
-       GROUP BY 1, 2, 3 HAVING max(r.ts) IS NOT NULL""", "ev8", "funding_rate @ts @rate_ts", 9)
+       """SELECT event_id, symbol, ts, CASE WHEN ok THEN rate_ts END AS rate_ts, CASE WHEN ok THEN funding_rate END AS funding_rate FROM (
+       SELECT e.event_id, e.event_type AS symbol, e.ts, r.ts AS rate_ts, r.funding_rate, epoch_us(e.ts) - epoch_us(r.ts) <= 1800000000 AS ok FROM events e ASOF LEFT JOIN rt r ON e.event_type = r.symbol AND r.ts <= e.ts)""",
+       "rt", "funding_rate @ts @rate_ts", 9)
 def _(t):
+    base = scratch_path(t.spark, "asof")
     bars = events(t).select("event_id", c("event_type").alias("symbol"), "ts")
-    rates = events(t).filter("event_id % 10 = 0").select(c("event_type").alias("symbol"), "ts", (c("value") / 10000).alias("funding_rate"))
-    j = io.drain(sw.asof_stream(bars, rates, "8 HOURS", "10 minutes"), "asof").filter("rate_ts IS NOT NULL")
-    return sw.latest_rate(j, ["event_id", "symbol", "ts"])
+    rates = lambda spark: (t.events.filter("event_id % 10 = 0").groupBy(c("event_type").alias("symbol"), "ts").agg((F.max("value") / 10000).alias("funding_rate")))
+    sw.asof_enrich(bars, rates, 1800, f"{base}/out", f"{base}/checkpoint", availableNow=True).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").drop("batch")
 
 
 @query("t16_book_features",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark.functions import book as bk
+from factorspark.operators.asof import asof_join
 from factorspark.operators.resample import order_key
 from factorspark.operators.risk import concentration_breaches
 
@@ -80,21 +83,27 @@ def book_features(s: DataFrame, k: int, bids: str = "bids", asks: str = "asks")
                           "bid_depth": bk.depth_sum(b, k), "ask_depth": bk.depth_sum(a, k)})
 
 
-def asof_stream(bars: DataFrame, rates: DataFrame, max_gap: str, delay: str, by: str = "symbol", rate: str = "funding_rate") -> DataFrame:
-    """Bars with every rate at most ``max_gap`` older, both sides watermarked; ``latest_rate`` picks one.
+def asof_enrich(s: DataFrame, rates: Callable[[SparkSession], DataFrame], max_gap: int, path: str, checkpoint: str, by: str = "symbol",
+                rate: str = "funding_rate", chunk: str = "minute", **trigger):
+    """Bars with the latest stored rate at most ``max_gap`` seconds older, micro-batch by micro-batch.
 
-    The outer side emits a bar without rate only after the watermark has passed it.
+    A stream-stream range join would emit every rate inside the gap for every bar; here each batch runs one
+    as-of join (union and carry forward) against the rates stored so far, cut to the batch's time range.
+    A retried batch overwrites its own folder.
     """
-    b = bars.withWatermark("ts", delay)
-    r = rates.select(F.col(by).alias("_by"), F.col("ts").alias("rate_ts"), rate).withWatermark("rate_ts", delay)
-    cond = (F.col(by) == F.col("_by")) & (F.col("rate_ts") <= F.col("ts")) & (F.col("rate_ts") >= F.col("ts") - F.expr(f"INTERVAL {max_gap}"))
-    return b.join(r, cond, "leftOuter").drop("_by")
-
-
-def latest_rate(joined: DataFrame, keys: list[str], rate: str = "funding_rate") -> DataFrame:
-    """The newest rate per bar of an as-of stream's output."""
-    rest = [c for c in joined.columns if c not in (*keys, rate, "rate_ts")]
-    return joined.groupBy(*keys).agg(F.max_by(rate, "rate_ts").alias(rate), F.max("rate_ts").alias("rate_ts"), *[F.first(c).alias(c) for c in rest])
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        lo, hi = batch.agg(F.min("ts"), F.max("ts")).first()
+        if lo is not None:
+            span = F.lit(max_gap).cast("int")
+            near = rates(batch.sparkSession).filter((F.col("ts") >= F.lit(lo) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), span)) & (F.col("ts") <= F.lit(hi)))
+            out = asof_join(batch, near.select(by, "ts", rate), by, right_ts="rate_ts", chunk=chunk)
+            fresh = F.unix_micros("ts") - F.unix_micros("rate_ts") <= max_gap * 1000000
+            out = out.withColumns({rate: F.when(fresh, F.col(rate)), "rate_ts": F.when(fresh, F.col("rate_ts"))})
+            out.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.unpersist()
+    w = s.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return w.trigger(**trigger).start() if trigger else w.start()
 
 
 def concentration_monitor(s: DataFrame, limit: float, path: str, checkpoint: str, **trigger):
