@@ -100,9 +100,21 @@ def compute_factors(df: DataFrame, names: list[str] | None = None, set_name: str
     todo = [FACTORS[n] for n in pool if n in FACTORS and set(FACTORS[n].inputs) <= have]
     for h in _ordered_helpers(todo):
         df = df.withColumn(h, HELPERS[h](roll))
+    # computed under private names: a factor may be called like the column it reads, up to case
     for i in range(0, len(todo), CHUNK):
-        df = df.withColumns({f.name: f.build(roll).cast("double") for f in todo[i:i + CHUNK]})
-    return df.select(*keys, *keep, *[f.name for f in todo])
+        df = df.withColumns({f"_f{i + j}": f.build(roll).cast("double") for j, f in enumerate(todo[i:i + CHUNK])})
+    return df.select(*keys, *keep, *[F.col(f"_f{i}").alias(n) for i, n in enumerate(_column_names(todo))])
+
+
+def _column_names(factors: list[Factor]) -> list[str]:
+    """Factor names, with the category in front where two differ only in case (columns ignore case)."""
+    seen: set[str] = set()
+    out = []
+    for f in factors:
+        name = f.name if f.name.lower() not in seen else f"{f.category}_{f.name}"
+        seen.add(name.lower())
+        out.append(name)
+    return out
 
 
 def missing_factors(df: DataFrame, names: list[str]) -> dict[str, str]:

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     s = (SparkSession.builder.master("local[8]").appName("tests")
          .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.maxMetadataStringLength", "2000").config("spark.driver.memory", "8g")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-")).getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
