@@ -51,7 +51,7 @@ CTE = {
     "fund8": """fund8 AS (SELECT event_type AS symbol, to_timestamp(floor(epoch(ts) / 28800) * 28800) AT TIME ZONE 'UTC' AS ts,
         (avg(value) - 50) / 10000 AS funding_rate FROM events GROUP BY 1, 2)""",
     "oi": """oi AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, sum(value) AS open_interest
-        FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)""",
+        FROM events WHERE value >= 20 GROUP BY 1, 2)""",
     "ls": """ls AS (SELECT event_type AS symbol, date_trunc('day', ts) AS ts,
         (1.0 + count(*) FILTER (value > 50)) / (1.0 + count(*) FILTER (value <= 50)) AS long_short_ratio FROM events GROUP BY 1, 2)""",
     "liq": """liq AS (SELECT event_id, event_type AS symbol, ts, CASE WHEN event_id % 2 = 0 THEN 'sell' ELSE 'buy' END AS side,
@@ -68,8 +68,8 @@ CTE = {
         (b.open + b.high) / NULLIF(b.open + b.high + b.low + b.close, 0) AS buy_sell_ratio,
         (b.open - b.close) / NULLIF(b.open + b.close, 0) AS bid_ask_imbalance, b.high - b.low AS spread
         FROM th b)""",
-    # daily long-short return series of the panel: one row per date
-    "daily": """daily AS (SELECT ts, avg(ret) AS ret, avg(CASE WHEN symbol % 2 = 0 THEN ret END) AS bench FROM fp WHERE ret IS NOT NULL GROUP BY 1)""",
+    # equal-weight return of the panel and its volume-weighted benchmark: one row per date
+    "daily": """daily AS (SELECT ts, avg(ret) AS ret, sum(ret * volume) / NULLIF(sum(volume), 0) AS bench FROM fp WHERE ret IS NOT NULL GROUP BY 1)""",
     # returns per hourly series
     "hret": """hret AS (SELECT symbol, ts, close, close / NULLIF(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS raw_ret,
         CASE WHEN lag(close) OVER (PARTITION BY symbol ORDER BY ts) <> 0 THEN
@@ -165,7 +165,7 @@ class Inputs:
 
     @cached_property
     def oi(self) -> DataFrame:
-        return (self.table("events").filter(F.col("event_id") % 2 == 0)
+        return (self.table("events").filter(F.col("value") >= 20)
                 .groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts"))
                 .agg(F.sum("value").alias("open_interest")))
 
@@ -198,7 +198,7 @@ class Inputs:
     @cached_property
     def daily(self) -> DataFrame:
         return (self.fp.filter(F.col("ret").isNotNull()).groupBy("ts")
-                .agg(F.avg("ret").alias("ret"), F.avg(F.when(F.col("symbol") % 2 == 0, F.col("ret"))).alias("bench")))
+                .agg(F.avg("ret").alias("ret"), div(F.sum(F.col("ret") * F.col("volume")), F.sum("volume")).alias("bench")))
 
     @cached_property
     def hret(self) -> DataFrame:

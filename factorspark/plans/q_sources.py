@@ -210,16 +210,18 @@ def _(t):
     return f.join(i, "symbol").join(F.broadcast(n))
 
 
-@query("s16_append_new", "SELECT event_id, value FROM events WHERE event_id % 3 = 0 AND event_id % 2 <> 0", "", "value")
+@query("s16_append_new", "SELECT event_id, value FROM events WHERE event_type IN ('purchase', 'error')", "", "value")
 def _(t):
-    e = t.events.select("event_id", "value")
-    return st.append_new(e.filter("event_id % 2 = 0"), e.filter("event_id % 3 = 0").unionByName(e.filter("event_id % 3 = 0")), ["event_id"])
+    e = t.events.select("event_id", "event_type", "value")
+    new = e.filter(c("event_type").isin("view", "purchase", "error"))
+    return st.append_new(e.filter(c("event_type").isin("click", "view", "signup")), new.unionByName(new), ["event_id"]).select("event_id", "value")
 
 
 @query("s17_upsert", "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1", "", "value")
 def _(t):
-    e = t.events.select("user_id", "value", F.struct("ts", "event_id").alias("v"))
-    return st.upsert(e.filter(c("v.event_id") % 2 == 0), e.filter(c("v.event_id") % 2 == 1), ["user_id"], "v").select("user_id", "value")
+    e = t.events.select("user_id", "event_type", "value", F.struct("ts", "event_id").alias("v"))
+    stored = c("event_type").isin("click", "view")
+    return st.upsert(e.filter(stored), e.filter(~stored), ["user_id"], "v").select("user_id", "value")
 
 
 # --- books

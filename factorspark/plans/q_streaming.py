@@ -165,7 +165,7 @@ def _(t):
     return io.drain(state.trailing_exits(s, 0.5), "exits")
 
 
-CTE["rt"] = "rt AS (SELECT event_type AS symbol, ts, max(value) / 10000 AS funding_rate FROM events WHERE event_id % 10 = 0 GROUP BY 1, 2)"
+CTE["rt"] = "rt AS (SELECT event_type AS symbol, ts, max(value) / 10000 AS funding_rate FROM events WHERE value >= 100 GROUP BY 1, 2)"
 
 
 @query("t15_asof_stream",
@@ -175,7 +175,7 @@ CTE["rt"] = "rt AS (SELECT event_type AS symbol, ts, max(value) / 10000 AS fundi
 def _(t):
     base = scratch_path(t.spark, "asof")
     bars = events(t).select("event_id", c("event_type").alias("symbol"), "ts")
-    rates = lambda spark: (t.events.filter("event_id % 10 = 0").groupBy(c("event_type").alias("symbol"), "ts").agg((F.max("value") / 10000).alias("funding_rate")))
+    rates = lambda spark: (t.events.filter("value >= 100").groupBy(c("event_type").alias("symbol"), "ts").agg((F.max("value") / 10000).alias("funding_rate")))
     sw.asof_enrich(bars, rates, 1800, f"{base}/out", f"{base}/checkpoint", availableNow=True).awaitTermination()
     return t.spark.read.parquet(f"{base}/out").drop("batch")
 
