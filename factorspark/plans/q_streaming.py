@@ -95,7 +95,7 @@ def _(t):
        "SELECT user_id AS account, date_trunc('day', ts) AS day, sum(CASE WHEN value < 50 THEN 50 - value ELSE 0 END) AS loss, sum(value - 50) AS net, sum(CASE WHEN value < 50 THEN 50 - value ELSE 0 END) > 60 AS breached FROM events GROUP BY 1, 2", "", "loss net @day")
 def _(t):
     s = events(t).select(c("user_id").alias("account"), "ts", (c("value") - 50).alias("pnl"))
-    return io.drain(sw.daily_loss(s, 60.0), "loss", "update").drop("batch")
+    return io.drain(sw.daily_loss(s, 60.0), "loss", "update", ["account", "day"])
 
 
 @query("t07_concentration_monitor",
@@ -156,7 +156,7 @@ def _(t):
        "SELECT user_id AS order_id, 3000.0 AS requested, sum(value) AS filled, sum(value * value) / sum(value) AS avg_price, sum(value) >= 3000 AS complete FROM events GROUP BY 1", "", "requested filled avg_price")
 def _(t):
     s = events(t).select(c("user_id").alias("order_id"), "ts", c("value").alias("qty"), c("value").alias("price"), F.lit(3000.0).alias("requested"))
-    return io.drain(sw.fill_progress(s), "fills", "update").drop("batch")
+    return io.drain(sw.fill_progress(s), "fills", "update", ["order_id"])
 
 
 @query("t14_trailing_exits")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorspark import schemas
@@ -59,10 +59,11 @@ def write_idempotent(s: DataFrame, table: str, checkpoint: str, keys: list[str],
     return w.trigger(**trigger).start() if trigger else w.start()
 
 
-def drain(s: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(s: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Run a stream over everything available now and return what it wrote.
 
-    Output and checkpoint live in fresh folders of the shared folder.
+    Output and checkpoint live in fresh folders of the shared folder. In update mode a key is written by every
+    micro-batch that changed it; ``keys`` keeps the row of its last one.
     """
     spark = s.sparkSession
     base = scratch_path(spark, name)
@@ -72,7 +73,11 @@ def drain(s: DataFrame, name: str, mode: str = "append") -> DataFrame:
     q.awaitTermination()
     if mode == "append":
         return spark.read.schema(schema).parquet(f"{base}/out")
-    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    out = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
+        out = out.withColumn("_i", F.row_number().over(w)).filter(F.col("_i") == 1).drop("_i")
+    return out.drop("batch")
 
 
 def dropped_rows(query) -> int:

@@ -270,7 +270,10 @@ def test_chunked_lag(spark):
     np.testing.assert_allclose(got["prev"].astype(float), want.to_numpy())
 
 
-def test_knn_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 4])
+def test_knn_equals_brute_force(spark, monkeypatch, block):
+    """In one query block, and in several."""
+    monkeypatch.setattr(ve, "BLOCK", block)
     x = RNG.normal(size=(200, 8))
     v = spark.createDataFrame([(i, [float(a) for a in r], i % 3) for i, r in enumerate(x)], "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT").repartition(5)
     qs = v.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")

@@ -98,6 +98,13 @@ def test_margin_level_changes(spark, tmp_path):
     assert list(d["level"]) == ["normal", "warning", "critical"]
 
 
+def test_updates_over_several_batches(spark, tmp_path):
+    s = files(spark, tmp_path, rows("2024-01-01 00:00", [1, 2]), rows("2024-01-01 00:10", [3, 4], n0=10)).withColumnsRenamed({"key": "order_id", "value": "qty"})
+    s = s.withColumns({"price": F.lit(2.0), "requested": F.lit(10.0)})
+    d = io.drain(sw.fill_progress(s), "fills", "update", ["order_id"]).toPandas()
+    assert len(d) == 1 and d["filled"].iloc[0] == 10 and d["complete"].iloc[0]
+
+
 def test_idempotent_intake(spark, tmp_path):
     s = files(spark, tmp_path, rows("2024-01-01 00:00", [1, 2]), [(0, "2024-01-01 00:10", "a", 1), (7, "2024-01-01 00:11", "a", 1)])
     assert sorted(drain(sw.idempotent(s, "event_id"))["event_id"]) == [0, 1, 7]
