@@ -24,37 +24,43 @@ def asof_join(left: DataFrame, right: DataFrame, by: str = "symbol", on: str = "
     ``chunk`` is a ``date_trunc`` unit: days suit bars, minutes suit raw ticks of busy keys.
     """
     values = values or [c for c in right.columns if c not in (by, on)]
+    return asof_join_many(left, [(right, values, right_ts)], by, on, direction, chunk)
+
+
+def asof_join_many(left: DataFrame, rights: list[tuple[DataFrame, list[str], str | None]], by: str = "symbol", on: str = "ts",
+                   direction: str = "backward", chunk: str = "day") -> DataFrame:
+    """As-of join with several right sides in one union and one window: the left side is shuffled once.
+
+    ``rights`` holds (frame, value columns, name for the matched time or None).
+    """
     back = direction == "backward"
-    matched = F.struct(F.col(on).alias("_rt"), *values)
-    key = F.date_trunc(chunk, F.col(on))
-    r = right.select(F.col(by), F.col(on), key.alias("_k"), matched.alias("_r"))
     lcols = [c for c in left.columns if c not in (by, on)]
-    lrow = F.struct(*lcols) if lcols else F.struct(F.lit(1).alias("_x"))
-    lf = left.select(F.col(by), F.col(on), key.alias("_k"), lrow.alias("_l"))
-
-    # last (or first) right row per chunk, then carried over the chunks: one row per key and chunk
-    pick = F.max_by("_r", on) if back else F.min_by("_r", on)
-    per_chunk = r.groupBy(by, "_k").agg(pick.alias("_last"))
+    lf = left.select(F.col(by), F.col(on), F.date_trunc(chunk, F.col(on)).alias("_k"),
+                     (F.struct(*lcols) if lcols else F.struct(F.lit(1).alias("_x"))).alias("_l"))
     wanted = lf.select(by, "_k").distinct().withColumn("_want", F.lit(True))
-    chunks = per_chunk.join(wanted, [by, "_k"], "full")
     order = F.col("_k").asc() if back else F.col("_k").desc()
     before = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (chunks.withColumn("_c", F.last("_last", ignorenulls=True).over(before))
-             .filter(F.col("_want") & F.col("_c").isNotNull())
-             .select(by, F.col("_c._rt").alias(on), "_k", F.col("_c").alias("_r")))
-
-    null_l = F.lit(None).cast(lf.schema["_l"].dataType)
-    null_r = F.lit(None).cast(r.schema["_r"].dataType)
-    side = lambda d, s: d.withColumn("_side", F.lit(s))
-    both = (side(r.select(by, on, "_k", null_l.alias("_l"), "_r"), 0)
-            .unionByName(side(carry.select(by, on, "_k", null_l.alias("_l"), "_r"), 0))
-            .unionByName(side(lf.select(by, on, "_k", "_l", null_r.alias("_r")), 1)))
+
+    parts = []
+    for i, (right, values, _) in enumerate(rights):
+        r = right.select(F.col(by), F.col(on), F.date_trunc(chunk, F.col(on)).alias("_k"), F.struct(F.col(on).alias("_rt"), *values).alias(f"_r{i}"))
+        # last (or first) right row per chunk, then carried over the chunks: one row per key and chunk
+        pick = F.max_by(f"_r{i}", on) if back else F.min_by(f"_r{i}", on)
+        chunks = r.groupBy(by, "_k").agg(pick.alias("_last")).join(wanted, [by, "_k"], "full")
+        carry = (chunks.withColumn("_c", F.last("_last", ignorenulls=True).over(before))
+                 .filter(F.col("_want") & F.col("_c").isNotNull())
+                 .select(by, F.col("_c._rt").alias(on), "_k", F.col("_c").alias(f"_r{i}")))
+        parts += [r.withColumn("_side", F.lit(0)), carry.withColumn("_side", F.lit(0))]
+    both = union_all(lf.withColumn("_side", F.lit(1)), *parts)
+
     t = F.col(on).asc() if back else F.col(on).desc()
     w = Window.partitionBy(by, "_k").orderBy(t, F.col("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("_m", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
-    cols = [F.col(f"_l.{c}").alias(c) for c in lcols] + [F.col(f"_m.{v}").alias(v) for v in values]
-    if right_ts:
-        cols.append(F.col("_m._rt").alias(right_ts))
+    out = both.withColumns({f"_m{i}": F.last(f"_r{i}", ignorenulls=True).over(w) for i in range(len(rights))}).filter(F.col("_side") == 1)
+    cols = [F.col(f"_l.{c}").alias(c) for c in lcols]
+    for i, (_, values, right_ts) in enumerate(rights):
+        cols += [F.col(f"_m{i}.{v}").alias(v) for v in values]
+        if right_ts:
+            cols.append(F.col(f"_m{i}._rt").alias(right_ts))
     return out.select(by, on, *cols)
 
 
@@ -86,11 +92,9 @@ def merge_market(bars: DataFrame, funding=None, oi=None, ls=None, liq=None, by="
 
     Missing numbers become 0.
     """
-    out, added = bars, []
-    for side, col in ((funding, "funding_rate"), (oi, "open_interest"), (ls, "long_short_ratio")):
-        if side is not None:
-            out = asof_join(out, side.select(by, on, col), by, on)
-            added.append(col)
+    sides = [(side, col) for side, col in ((funding, "funding_rate"), (oi, "open_interest"), (ls, "long_short_ratio")) if side is not None]
+    out = asof_join_many(bars, [(side, [col], None) for side, col in sides], by, on) if sides else bars
+    added = [col for _, col in sides]
     if liq is not None:
         out = out.join(liq, [by, on], "left")
         added += [c for c in liq.columns if c not in (by, on)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,12 +173,35 @@ def turnover(weights: DataFrame, by="symbol", ts="ts", w="weight") -> DataFrame:
     return per_date.join(F.broadcast(first), F.col(ts) > F.col("_first")).drop("_first")
 
 
+# Pairs per aggregate; more would make one generated method too large to compile.
+PAIRS = 150
+
+
 def corr_matrix(df, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair i < j, all in one aggregate over one pass."""
+    """Pearson correlation of every column pair i < j over rows that have both.
+
+    Pairs are aggregated in one pass, or one pass per ``PAIRS`` pairs when there are more.
+    """
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    wide = df.agg(*[corr(a, b).alias(f"_p{k}") for k, (a, b) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(f"_p{k}").alias("corr")) for k, (a, b) in enumerate(pairs)])
-    return wide.select(F.explode(arr).alias("_e")).select("_e.*")
+    out = None
+    for s in range(0, len(pairs), PAIRS):
+        block = pairs[s:s + PAIRS]
+        wide = df.agg(*[corr(a, b).alias(f"_p{k}") for k, (a, b) in enumerate(block)])
+        arr = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(f"_p{k}").alias("corr")) for k, (a, b) in enumerate(block)])
+        part = wide.select(F.explode(arr).alias("_e")).select("_e.*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def complete_matrix(df, cols: list[str]) -> DataFrame:
+    """Pearson correlation of every pair over rows that have all columns, from one Gram matrix.
+
+    The matrix has one row and column per factor of the registry, so it may pass through the driver.
+    """
+    x = VectorAssembler(inputCols=cols, outputCol="_x").transform(df.dropna(subset=cols)).select("_x")
+    m = Correlation.corr(x, "_x").first()[0].toArray()
+    rows = [(a, b, None if np.isnan(m[i][j]) else float(m[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return df.sparkSession.createDataFrame(rows, "factor_a STRING, factor_b STRING, corr DOUBLE")
 
 
 def spearman_matrix(df, keys: list[str], cols: list[str]) -> DataFrame:
@@ -184,7 +210,7 @@ def spearman_matrix(df, keys: list[str], cols: list[str]) -> DataFrame:
     long = d.unpivot(keys, cols, "_name", "_value")
     ranks = cs.avg_rank(long, ["_name"], "_value", "_rank")
     wide = ranks.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_rank"))).alias(c) for c in cols])
-    return corr_matrix(wide, cols)
+    return corr_matrix(wide, cols) if len(cols) <= 18 else complete_matrix(wide, cols)
 
 
 def spearman_pairs(df, keys, cols, threshold: float) -> DataFrame:

@@ -51,11 +51,12 @@ def read_trials_json(spark: SparkSession, path: str) -> DataFrame:
 def export_field_store(df: DataFrame, path: str, fields: list[str], buckets: int = 64) -> None:
     """Float32 values in long form, one folder per field and symbol bucket, with calendar and instrument tables.
 
-    Symbols are hashed into buckets, so the number of folders does not grow with the number of symbols.
+    Symbols are hashed into buckets, so the number of folders does not grow with the number of symbols; the rows
+    of one folder are written by one task per month, so no task holds a whole field.
     """
     long = df.unpivot(["symbol", "ts"], fields, "field", "value").withColumn("value", F.col("value").cast("float"))
     long = long.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
-    (long.repartition("field", "bucket").sortWithinPartitions("symbol", "ts")
+    (long.withColumn("_m", F.date_trunc("month", "ts")).repartition("field", "bucket", "_m").drop("_m").sortWithinPartitions("symbol", "ts")
      .write.mode("overwrite").partitionBy("field", "bucket").parquet(f"{path}/features"))
     df.select("ts").distinct().write.mode("overwrite").parquet(f"{path}/calendar")
     (df.groupBy("symbol").agg(F.min("ts").alias("start"), F.max("ts").alias("end")).write.mode("overwrite").parquet(f"{path}/instruments"))

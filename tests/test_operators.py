@@ -212,6 +212,19 @@ def test_weights_sum_to_one(spark):
         assert sum(w.values()) == pytest.approx(1.0) and max(w, key=w.get) == "a" or method == "equal"
 
 
+def test_wide_correlation_matrices_agree(spark):
+    """Many columns take several aggregates or one Gram matrix; both equal pandas."""
+    x = pd.DataFrame(RNG.normal(size=(200, 20)), columns=[f"c{i:02d}" for i in range(20)]).assign(id=range(200))
+    d = spark.createDataFrame(x)
+    cols = list(x.columns[:20])
+    pear, spear = x[cols].corr(), x[cols].corr(method=lambda a, b: pd.Series(a).rank().corr(pd.Series(b).rank()))
+    for got, want in ((sc.corr_matrix(d, cols), pear), (sc.complete_matrix(d, cols), pear), (sc.spearman_matrix(d, ["id"], cols), spear)):
+        rows = got.collect()
+        assert len(rows) == 190
+        for r in rows:
+            assert r["corr"] == pytest.approx(want.loc[r["factor_a"], r["factor_b"]], abs=1e-9)
+
+
 def test_greedy_selection(spark):
     names = [f"f{i}" for i in range(12)]
     ic = {n: float(v) for n, v in zip(names, RNG.permutation(np.linspace(0.01, 0.12, 12)))}
