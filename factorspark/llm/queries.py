@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factorspark.llm.bpe import op6_bpe
+from factorspark.llm.decontam import op1_decontaminate
 from factorspark.llm.exact import OP7_SQL, op7_exact_dedup
 from factorspark.llm.language import op10_language
 from factorspark.llm.licenses import op8_licenses
+from factorspark.llm.neardup import op4_neardup
 from factorspark.llm.quality import op5_quality
 from factorspark.llm.toxicity import op3_toxicity
 from factorspark.llm.urls import OP9_SQL, op9_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op3_toxicity": op3_toxicity,
+    "op4_neardup": op4_neardup,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_exact_dedup": op7_exact_dedup,

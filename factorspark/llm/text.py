@@ -152,9 +152,9 @@ def shingles(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((count > 0) & (count < n))
     if len(short):
         extra = np.zeros(len(short), np.uint64)
-        for i, d in enumerate(short):
-            for x in h[words.first[d]:words.first[d + 1]]:
-                extra[i] = extra[i] * np.uint64(0xD1342543DE82EF95) + x
+        for j in range(n - 1):
+            more = count[short] > j
+            extra[more] = extra[more] * np.uint64(0xD1342543DE82EF95) + h[words.first[short[more]] + j]
         docs = np.concatenate([docs, short])
         hashes = np.concatenate([hashes, mix(extra + np.uint64(1))])
         order = np.argsort(docs, kind="stable")
