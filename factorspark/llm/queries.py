@@ -13,11 +13,13 @@ from factorspark.llm.language import op10_language
 from factorspark.llm.licenses import op8_licenses
 from factorspark.llm.neardup import op4_neardup
 from factorspark.llm.quality import op5_quality
+from factorspark.llm.suffix import op2_repeats
 from factorspark.llm.toxicity import op3_toxicity
 from factorspark.llm.urls import OP9_SQL, op9_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_repeats": op2_repeats,
     "op3_toxicity": op3_toxicity,
     "op4_neardup": op4_neardup,
     "op5_quality": op5_quality,
