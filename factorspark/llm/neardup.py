@@ -7,8 +7,10 @@ weighted Jaccard similarity, and a process is left as soon as its times exceed a
 
 Groups. Texts with the same multiset form one class, and one text of each class goes on. Registers are banded; texts that share a band
 meet a leader, and the exact similarity of the pair decides. Where a band's texts still lie in different components, further leaders
-are tried, and in the end every pair of texts of different components in one band is verified, so no link found by the bands is lost
-(a pair at 0.8 shares no band with a probability of about 5e-8). Components are the near-duplicate classes.
+are tried. What then is left apart in a common band is searched exactly, without pairing the band's texts with each other: with all
+shingles in one order, rare ones first, two texts of similarity t share one of their first n - ceil(t n) + 1 shingles; pairs that do,
+in sizes and places that still allow t, are verified. (A pair at 0.8 shares no band with a probability of about 5e-8.) The components
+of the verified links are the near-duplicate classes.
 
 Texts without words (null, empty, only marks) are duplicates of nothing. Texts of fewer than five words have one shingle. Rows that
 share an id are one document. A row with a null id is in no class.
@@ -30,8 +32,8 @@ from factorspark.session import cut_lineage
 
 WORDS, THRESHOLD = 5, 0.8
 REGISTERS, BANDS = 128, 32
-#: Tries of one leader per band before all pairs of different components are verified.
-LEADER_ROUNDS = 3
+#: Counters of the shingle frequencies that order the exact search; the order is only a matter of speed.
+SKETCH_BITS = 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,12 +154,60 @@ def verified(pairs: DataFrame, bag: DataFrame, threshold: float = THRESHOLD) ->
 
 def _leaders(met: DataFrame, order: str) -> DataFrame:
     """Pairs of each text with one leader of its band that lies in another component."""
-    rank = {"least": F.col("id"), "greatest": F.col("id"), "hash": F.xxhash64("id", "key")}[order]
-    lead = met.groupBy("key").agg((F.max_by if order == "greatest" else F.min_by)(F.struct("id", "root"), rank).alias("lead"))
+    lead = met.groupBy("key").agg((F.max if order == "greatest" else F.min)(F.struct("id", "root")).alias("lead"))
     pairs = met.join(lead, "key").where(F.col("root") != F.col("lead.root"))
     return pairs.select(F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
 
 
+def _frequencies(bags_: DataFrame) -> np.ndarray:
+    """Counts of shingles by hash slot; of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                raw = x.as_py()
+                total += np.bincount((np.frombuffer(raw, np.uint64, len(raw) // 12) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    rows = bags_.select("bag").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _prefix_pairs(apart: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``apart`` (id, root, bag) in different components that can reach the threshold."""
+    counts = apart.sparkSession.sparkContext.broadcast(_frequencies(apart))  # 2 MB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                raw = b.column(2)[i].as_py()
+                m = len(raw) // 12
+                h, w = np.frombuffer(raw, np.uint64, m), np.frombuffer(raw, np.uint32, m, 8 * m).astype(np.int64)
+                n = int(w.sum())
+                copy = np.arange(n) - np.repeat(np.cumsum(w) - w, w)
+                rank = np.repeat(counts.value[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], w)
+                key = mix(np.repeat(h, w) + copy.astype(np.uint64) * _STEP)
+                k = n - int(np.ceil(threshold * n - 1e-9)) + 1
+                first = np.lexsort((key, rank))[:k]
+                one = pa.array(np.zeros(k, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), b.column(0).slice(i, 1).take(one), b.column(1).slice(i, 1).take(one),
+                                                  pa.array(np.full(k, n)), pa.array(n - np.arange(k))], names=["key", "id", "root", "size", "rest"])
+
+    kind = dict(apart.dtypes)["id"]
+    rows = apart.select("id", "root", "bag").mapInArrow(run, f"key bigint, id {kind}, root {kind}, size bigint, rest bigint")
+    shared = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("key")
+    rows = cut_lineage(rows.join(shared, "key"))
+    x, y = rows.alias("x"), rows.alias("y")
+    size = F.col("x.size") + F.col("y.size")
+    possible = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (
+        F.least("x.rest", "y.rest") >= size * (threshold / (1 + threshold)) - 1e-6) & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold - 1e-6)
+    return x.join(y, possible).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, same_id, kept): near-duplicate class (its least id), the least id with the same multiset, and whether the row's id stands for its class."""
     found = cut_lineage(signed(df, id_col, text_col))
@@ -171,25 +221,25 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     wanted = met.select("id").distinct()
     bag = cut_lineage(packed(df.join(wanted, df[id_col] == wanted["id"], "left_semi"), id_col, text_col).groupBy("id").agg(F.first("bag").alias("bag")))
     near, tested, roots = None, None, None
-    for order in ("least", "greatest", "hash")[:LEADER_ROUNDS] + ("all",):
+    for order in ("least", "greatest", "prefix"):
         placed = met.withColumn("root", F.col("id")) if roots is None else met.join(roots, met["id"] == roots["node"], "left").select("key", "id", F.coalesce("root", "id").alias("root"))
         if roots is not None:
             mixed = placed.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("key")
-            placed = cut_lineage(placed.join(mixed, "key"))
-        if order == "all":
-            x, y = placed.alias("x"), placed.alias("y")
-            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+            placed = placed.join(mixed, "key")
+        if order == "prefix":
+            pairs = _prefix_pairs(cut_lineage(placed.select("id", "root").distinct().join(bag, "id")), threshold)
         else:
-            pairs = _leaders(placed, order)
+            pairs = _leaders(cut_lineage(placed), order)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
-            break
+            continue
         new = cut_lineage(verified(pairs, bag, threshold))
         tested = pairs if tested is None else tested.unionAll(pairs)
         near = new if near is None else near.unionAll(new)
-        roots = cut_lineage(components(near))
+        if order != "prefix":
+            roots = cut_lineage(components(near))
     edges = links if near is None else links.unionAll(near)
     final = components(edges)
     rows = found.select("id").join(final, found["id"] == final["node"], "left")
