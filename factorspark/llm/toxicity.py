@@ -164,9 +164,10 @@ def fit(df: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id",
     sizes = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Model()
+    # at most about 2 x max_rows ids and labels: small enough to broadcast, whatever the corpus
     few = [bounded_sample(known.where(F.col("_label") == k), F.col("_id"), max_rows, sizes[k]) for k in (0, 1)]
     sample = (df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-              .join(few[0].unionAll(few[1]), "_id").select("_text", "_label"))
+              .join(F.broadcast(few[0].unionAll(few[1])), "_id").select("_text", "_label"))
     got = {k: min(sizes[k], max_rows) for k in (0, 1)}
     keys, evidence = lexicon(sample, got[1], got[0], max_voters)
     model = Model(keys, evidence)
