@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def python_factor(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], by: str = "symbol", ts: str = "ts", name: str = "factor") -> DataFrame:
     """Apply a Python factor to each symbol's bars (a bar series is bounded by the calendar).
 
-    A result of another length, or with no value at all on a series of 100 rows or more, fails the job.
+    A result of another length fails the job; a series without any value gives missing values, at every length.
     """
     key_type = dict(df.dtypes)[by]
 
@@ -22,8 +22,6 @@ def python_factor(df: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], by: st
         out = pd.Series(np.asarray(fn(pdf.copy()), dtype=float))
         if len(out) != len(pdf):
             raise ValueError(f"factor returned {len(out)} values for {len(pdf)} rows")
-        if len(pdf) >= 100 and out.isna().all():
-            raise ValueError("factor returned no value")
         return pd.DataFrame({by: pdf[by].to_numpy(), ts: pdf[ts].to_numpy(), name: out.to_numpy()})
 
     d = df.groupBy(by).applyInPandas(run, f"{by} {key_type}, {ts} TIMESTAMP, {name} DOUBLE")

@@ -32,7 +32,7 @@ def centroids(df: DataFrame, by: str, vec: str = "embedding") -> DataFrame:
     return m.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda x: x["_m"]).alias(vec))
 
 
-def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_score: float, id_col: str, vec: str, qtype: str) -> DataFrame:
+def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_score: float | None, id_col: str, vec: str, qtype: str) -> DataFrame:
     """Best k stored vectors per query and task."""
     bc = vectors.sparkSession.sparkContext.broadcast((ids, mat))
 
@@ -45,7 +45,7 @@ def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_scor
             x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
             n = np.linalg.norm(x, axis=1, keepdims=True)
             s = q @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
-            floor = np.full(len(qid), min_score)
+            floor = np.full(len(qid), -np.inf if min_score is None else min_score)
             if s.shape[1] > k:
                 floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
             r, c = np.nonzero(s >= floor[:, None])
@@ -60,7 +60,7 @@ def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_scor
     return vectors.select(id_col, vec).mapInPandas(scan, f"query_id {qtype}, {id_col} BIGINT, score DOUBLE")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = -1.0, query_id: str = "query_id", id_col: str = "vec_id", vec: str = "embedding",
+def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, query_id: str = "query_id", id_col: str = "vec_id", vec: str = "embedding",
         family: str | None = None, family_col: str = "label") -> DataFrame:
     """k nearest stored vectors by cosine for each query, best first; an optional family filter and score floor.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ MAX_BROADCAST_ROWS = 200_000
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",  # splits hot values in rank joins
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",  # also where the join's keys are grouped or ranked afterwards
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
@@ -26,19 +26,11 @@ RECOMMENDED = {
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
-
-    A temporary folder is used only on a local master with nothing configured (tests); on a cluster a
-    missing setting is an error, as a machine-local folder would be lost with its machine.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session; a missing setting is an error."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not conf:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="factorspark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return conf.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
