@@ -106,12 +106,12 @@ def slow_repeats(rows, n=50):
     return out
 
 
-@pytest.mark.parametrize("shard_bytes", [3_000, 1 << 21])
-def test_repeats_against_brute_force(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes, hot_shards", [(3_000, 512), (1_000, 2), (1 << 21, 512)])
+def test_repeats_against_brute_force(spark, shard_bytes, hot_shards):
     rng = random.Random(5)
     part = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(30, 200))) for _ in range(12)]
     rows = [(i, "".join(rng.choice(part) for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(60, None), (61, ""), (62, "z" * 500), (63, "z" * 120), (64, "q" * 49), (65, "q" * 49)]
-    got = suffix.repeats(table(spark, rows, True), shard_bytes=shard_bytes).collect()
+    got = suffix.repeats(table(spark, rows, True), shard_bytes=shard_bytes, hot_shards=hot_shards).collect()
     want = slow_repeats(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -121,6 +121,22 @@ def test_repeats_against_brute_force(spark, shard_bytes):
     assert sorted((r["id"] or -1, len(r["kept"])) for r in again) == [(-1, 0), (1, 80), (1, 80)]
 
 
+def test_suffix_array_keeps_equal_strings_together_at_text_ends():
+    """Strings that end with their text lie beside equal ones that go on, whatever follows and whatever is out of the ranges."""
+    rng = random.Random(9)
+    stem = bytes(rng.choice(b"ab") for _ in range(50))
+    texts = [stem, stem[:48] + b"zz" + stem, stem + b"more", stem[:49] + b"!" + b"q" * 70, b"xy" + stem + b"aa"] * 3
+    tab = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.binary())})
+    s = suffix.Shard(tab)
+    got = suffix.repeated_inside(s, suffix.anchors(s.buf))
+    at = [(i, k) for i, b in enumerate(texts) for k in range(len(b) - 49)]
+    least = {}
+    for i, k in at:
+        least.setdefault(texts[i][k:k + 50], i)
+    start = {i: int(s.offs[i]) for i in range(len(texts))}
+    assert set(np.flatnonzero(got)) == {start[i] + k for i, k in at if least[texts[i][k:k + 50]] < i}
+
+
 def bag(text):
     w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
