@@ -126,15 +126,20 @@ def _(t):
 
 
 @query("p19_audit_expressions",
-       r"""SELECT id, l AS negative_lag, w AS negative_window, f AS future_column, l OR w OR f AS biased FROM (SELECT id, regexp_matches(expr, '(?i)\b(Ref|Shift|Delay)\s*\(\s*[^,]+,\s*-\d+\s*\)') AS l,
-       regexp_matches(expr, '(?i)\b(Mean|Std|Sum|Max|Min|Rolling|Window)\s*\([^)]*,\s*-\d+') AS w, regexp_matches(expr, '(?i)\$(fwd|forward|future|next)_?[a-z0-9_]*') AS f FROM ex)""", "ex")
+       r"""WITH a AS (SELECT id, expr, unnest(generate_series(1, length(expr))) AS i FROM ex),
+       b AS (SELECT id, expr, i, expr[i] AS ch, length(replace(left(expr, i), ')', '')) - length(replace(left(expr, i), '(', '')) AS d FROM a WHERE expr[i] IN ('(', ')')),
+       m AS (SELECT *, max(CASE WHEN ch = '(' THEN i END) OVER (PARTITION BY id, CASE WHEN ch = '(' THEN d - 1 ELSE d END ORDER BY i) AS o FROM b),
+       k AS (SELECT id, lower(regexp_extract(left(expr, o - 1), '(\w+)\s*$', 1)) AS name FROM m WHERE ch = ')' AND regexp_matches(left(expr, i - 1), ',\s*-\d+\s*$')),
+       n AS (SELECT id, bool_or(name IN ('ref', 'shift', 'delay')) AS l, bool_or(name IN ('mean', 'std', 'sum', 'max', 'min', 'rolling', 'window')) AS w FROM k GROUP BY id),
+       f AS (SELECT ex.id, coalesce(l, false) AS l, coalesce(w, false) AS w, regexp_matches(lower(expr), '\$(fwd|forward|future|next)') AS f FROM ex LEFT JOIN n ON ex.id = n.id)
+       SELECT id, l AS negative_lag, w AS negative_window, f AS future_column, l OR w OR f AS biased FROM f""", "ex")
 def _(t):
     return tx.audit_expressions(ex(t)).select("id", "negative_lag", "negative_window", "future_column", "biased")
 
 
 @query("p20_expression_complexity",
-       r"""WITH a AS (SELECT id, expr, CAST(len(regexp_extract_all(expr, '([A-Z][a-zA-Z]*)\s*\(', 1)) AS INTEGER) AS n_operators,
-         array_to_string(list_sort(list_distinct(regexp_extract_all(expr, '\$([a-zA-Z_][a-zA-Z0-9_]*)', 1))), ',') AS fields, CAST(length(expr) AS INTEGER) AS length,
+       r"""WITH a AS (SELECT id, expr, CAST(len(list_transform(regexp_extract_all(expr, '\b[A-Z]\w*\s*\('), lambda x: rtrim(x, '( '))) AS INTEGER) AS n_operators,
+         array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(expr, '\$[[:alpha:]_]\w*'), lambda x: x[2:]))), ',') AS fields, CAST(length(expr) AS INTEGER) AS length,
          list_transform(generate_series(1, length(expr)), lambda i: (length(replace(left(expr, i), ')', '')) - length(replace(left(expr, i), '(', '')))) AS d FROM ex),
        b AS (SELECT id, n_operators, fields, length, CAST(list_max(d) AS INTEGER) AS max_depth, list_min(d) >= 0 AND d[-1] = 0 AS balanced FROM a)
        SELECT *, 0.1 * (greatest(n_operators - 3, 0) + greatest(max_depth - 2, 0)) AS penalty, n_operators > 10 OR max_depth > 5 AS exceeds FROM b""", "ex", "penalty")
@@ -143,7 +148,7 @@ def _(t):
 
 
 @query("p21_unknown_fields",
-       r"""SELECT id, f AS field FROM (SELECT id, unnest(list_distinct(regexp_extract_all(expr, '\$([a-zA-Z_][a-zA-Z0-9_]*)', 1))) AS f FROM ex) WHERE f NOT IN ('close', 'open', 'volume', 'economy')""", "ex")
+       r"""SELECT id, f AS field FROM (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(expr, '\$[[:alpha:]_]\w*'), lambda x: x[2:]))) AS f FROM ex) WHERE f NOT IN ('close', 'open', 'volume', 'economy')""", "ex")
 def _(t):
     reg = t.spark.createDataFrame([(f,) for f in ("close", "open", "volume", "economy")], "field STRING")
     return tx.unknown_fields(ex(t), reg, "id")
@@ -456,7 +461,7 @@ def _(t):
 
 @query("f_str_functions",
        r"""SELECT id, upper(family) AS up, replace(family, '#', '_') AS rep, hypothesis LIKE '%RSI%' AS has, substr(md5(lower(family || ':' || hypothesis)), 1, 12) AS hid, sha256(expr) AS sha,
-       array_to_string(regexp_extract_all(expr, '([A-Z][a-zA-Z]*)\s*\(', 1), ',') AS ops FROM ex""", "ex")
+       array_to_string(list_transform(regexp_extract_all(expr, '\b[A-Z]\w*\s*\('), lambda x: rtrim(x, '( ')), ',') AS ops FROM ex""", "ex")
 def _(t):
     return ex(t).select("id", F.upper("family").alias("up"), F.replace("family", F.lit("#"), F.lit("_")).alias("rep"), F.contains("hypothesis", F.lit("RSI")).alias("has"),
                         tx.hash_id(c("family"), c("hypothesis")).alias("hid"), F.sha2("expr", 256).alias("sha"), F.array_join(tx.operators(c("expr")), ",").alias("ops"))

@@ -92,3 +92,12 @@ def test_cosine(spark):
     v = lambda *x: F.array(*[F.lit(float(i)) for i in x])
     r = one(spark, fv.cosine(v(1, 0), v(1, 1)), fv.cosine(v(0, 0), v(1, 1)), fv.dot(v(1, 2), v(3, 4)))
     assert r[0] == pytest.approx(0.70710678) and r[1] is None and r[2] == 11
+
+
+@pytest.mark.parametrize("expr, lag, window", [
+    ("Mean(Std($x, 5), -3)", False, True), ("Ref(Corr($a, $b, 5), -1)", True, False), ("Ref($x, Mean($y, -2))", False, True),
+    ("Sum($x, 5) - Max($y, 3)", False, False), ("Other(Ref($x, 2), -1)", False, False), ("ref ( ($x + 1) , - 7 )", True, False),
+    ("Ref($x, -1", False, False), (")Ref($x, -1)", True, False), ("Ref(-1)", False, False), ("", False, False)])
+def test_audit_reads_nested_calls(spark, expr, lag, window):
+    r = tx.audit_expressions(spark.createDataFrame([(expr,)], "expr STRING")).first()
+    assert (r["negative_lag"], r["negative_window"]) == (lag, window)
