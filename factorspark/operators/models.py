@@ -61,13 +61,14 @@ def fit_linear(df: DataFrame, features: list[str], target: str = "fwd", train=0.
 
 
 def fit_ensemble(df: DataFrame, features: list[str], target: str = "fwd", train=0.6, valid=0.2) -> DataFrame:
-    """Linear and boosted models plus their average weighted by |test IC|."""
+    """Linear and boosted models of the training dates plus their average, weighted by |IC| on the validation dates; test dates only get
+    predictions."""
     d = _assemble(_time_split(df, train, valid), features, target)
-    fit, test = d.filter("part < 2"), d.filter("part = 2")
+    fit = d.filter("part = 0")
     lin = LinearRegression(featuresCol="_x", labelCol=target, predictionCol="p_linear").fit(fit)
     gbt = GBTRegressor(featuresCol="_x", labelCol=target, predictionCol="p_gbt", maxIter=10, maxDepth=3, seed=7).fit(fit)
-    p = gbt.transform(lin.transform(test)).drop("_x")
-    w = p.agg(*[F.abs(F.coalesce(_corr(c, target), F.lit(0.0))).alias(f"w_{c}") for c in ("p_linear", "p_gbt")])
+    p, seen = (gbt.transform(lin.transform(d.filter(F.col("part") == k))).drop("_x") for k in (2, 1))
+    w = seen.agg(*[F.abs(F.coalesce(_corr(c, target), F.lit(0.0))).alias(f"w_{c}") for c in ("p_linear", "p_gbt")])
     p = p.join(F.broadcast(w))  # one row
     total = F.col("w_p_linear") + F.col("w_p_gbt")
     mix = (F.col("p_linear") * F.col("w_p_linear") + F.col("p_gbt") * F.col("w_p_gbt")) / total
