@@ -21,9 +21,11 @@ RESOLUTION = 16384
 
 
 def value_bucket(x: Column, resolution: int = RESOLUTION) -> Column:
-    """Monotone integer bucket of a number: logarithmic in magnitude, so no data pass is needed."""
+    """Monotone integer bucket of a number: logarithmic in magnitude, so no data pass is needed. Infinities lie beyond all finite
+    numbers, NaN after them, as Spark sorts them."""
     x = x.cast("double")
-    mag = F.floor(F.log2(F.abs(x)) * resolution) + F.lit(1100 * resolution)
+    finite = F.floor(F.log2(F.abs(x)) * resolution) + F.lit(1100 * resolution)
+    mag = F.when(F.isnan(x), F.lit(2300 * resolution)).when(F.abs(x) == float("inf"), F.lit(2200 * resolution)).otherwise(finite)
     return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, mag).otherwise(-mag)
 
 

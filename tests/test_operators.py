@@ -304,3 +304,11 @@ def test_exit_rules(spark):
     b = spark.createDataFrame(pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=7, freq="h"), "high": [float(p) for p in px], "low": [float(p) for p in px], "close": [float(p) for p in px]}))
     got = {r["rule"]: r["hit_ts"].hour for r in pf.exit_hits(t, b, max_hours=5).collect()}
     assert got == {"trailing_target": 3, "trailing_stop": 3, "stop": 4, "time": 5}
+
+
+def test_rank_buckets_accept_infinities_and_nan(spark):
+    from factorspark.operators.cross_section import value_bucket
+
+    values = [float("-inf"), -1e300, -2.0, 0.0, 1e-300, 3.0, 1.7e308, float("inf"), float("nan")]
+    rows = spark.createDataFrame(list(enumerate(values)), "i INT, x DOUBLE").select("i", value_bucket(F.col("x")).alias("b")).orderBy("i").collect()
+    assert [r["b"] for r in rows] == sorted({r["b"] for r in rows})
