@@ -54,7 +54,7 @@ HELPERS: dict[str, Callable[[Roll], Column]] = {
 }
 HELPER_DEPS = {
     "_up": ("_c1",), "_down": ("_c1",), "_ratio": ("_c1",), "_moved": ("_c1", "_ratio"), "_back": ("_c1",), "_tr": ("_c1",),
-    "_vup": ("_v1",), "_vdown": ("_v1",), "_lvr": ("_v1",), "_frun": ("_fpos",),
+    "_macd": (RN,), "_vup": ("_v1",), "_vdown": ("_v1",), "_lvr": ("_v1",), "_frun": ("_fpos",),
 }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorspark.factors.base import HELPER_DEPS, HELPERS, register_factor
 from factorspark.functions.math import div
-from factorspark.operators.windows import Roll
+from factorspark.operators.windows import RN, Roll
 
 c = F.col
 HLC = ("high", "low", "close")
@@ -72,11 +72,11 @@ def donchian(r: Roll, period: int = 20, upper: bool = True) -> Column:
 # name -> (builder, keyword defaults, helper columns, other names it answers to)
 CATALOGUE = {
     "RSI": (rsi, {"period": 14}, ("_up", "_down"), ("relative strength index",)),
-    "MACD": (macd, {"fast": 12, "slow": 26}, (), ()),
+    "MACD": (macd, {"fast": 12, "slow": 26}, (RN,), ()),
     "MOMENTUM": (momentum, {"period": 10}, (), ("mom",)),
     "ROC": (roc, {"period": 10}, (), ("rate of change",)),
     "SMA": (sma, {"period": 20}, (), ("ma",)),
-    "EMA": (ema, {"period": 20}, (), ()),
+    "EMA": (ema, {"period": 20}, (RN,), ()),
     "BOLLINGER_UPPER": (bollinger, {"period": 20, "mult": 2.0, "upper": True}, (), ("bollinger upper",)),
     "BOLLINGER_LOWER": (bollinger, {"period": 20, "mult": 2.0, "upper": False}, (), ("bollinger lower",)),
     "ATR": (atr, {"period": 14}, ("_c1", "_tr"), ("average true range",)),

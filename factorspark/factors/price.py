@@ -105,8 +105,8 @@ _add("volume_ma_5", "builtin", lambda r: r.mean("volume", 5), ("volume",))
 _add("volume_ma_20", "builtin", lambda r: r.mean("volume", 20), ("volume",))
 _add("price_ma_20", "builtin", lambda r: r.mean("close", 20))
 _add("price_ma_50", "builtin", lambda r: r.mean("close", 50))
-_add("ema_12", "builtin", lambda r: r.ema("close", 12))
-_add("ema_26", "builtin", lambda r: r.ema("close", 26))
+_add("ema_12", "builtin", lambda r: r.ema("close", 12), needs=(RN,))
+_add("ema_26", "builtin", lambda r: r.ema("close", 26), needs=(RN,))
 _add("high_max_20", "builtin", lambda r: r.max("high", 20), ("high",))
 _add("low_min_20", "builtin", lambda r: r.min("low", 20), ("low",))
 _add("delta_close_5", "builtin", lambda r: r.delta("close", 5))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,49 +170,35 @@ def turnover(weights: DataFrame, by="symbol", ts="ts", w="weight") -> DataFrame:
     return per_date.join(F.broadcast(first), F.col(ts) > F.col("_first")).drop("_first")
 
 
-# Pairs per aggregate; more would make one generated method too large to compile.
-PAIRS = 150
+def _column_pairs(df, cols: list[str]) -> DataFrame:
+    """One row per input row and pair i < j of columns present in it. The plan does not grow with the columns."""
+    cells = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]), lambda e: e["v"].isNotNull())
+    first = df.select(cells.alias("_c")).select("_c", F.posexplode("_c").alias("_p", "_a"))
+    both = first.select("_a", F.explode(F.slice("_c", F.col("_p") + 2, len(cols))).alias("_b"))
+    return both.select(F.col("_a.i").alias("_i"), F.col("_b.i").alias("_j"), F.col("_a.v").alias("_x"), F.col("_b.v").alias("_y"))
 
 
-def corr_matrix(df, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair i < j over rows that have both.
-
-    Pairs are aggregated in one pass, or one pass per ``PAIRS`` pairs when there are more.
-    """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    out = None
-    for s in range(0, len(pairs), PAIRS):
-        block = pairs[s:s + PAIRS]
-        wide = df.agg(*[corr(a, b).alias(f"_p{k}") for k, (a, b) in enumerate(block)])
-        arr = F.array(*[F.struct(F.lit(a).alias("factor_a"), F.lit(b).alias("factor_b"), F.col(f"_p{k}").alias("corr")) for k, (a, b) in enumerate(block)])
-        part = wide.select(F.explode(arr).alias("_e")).select("_e.*")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _named_pairs(df, cols: list[str], found: DataFrame) -> DataFrame:
+    """Every pair of the column list with its correlation, NULL where it has none."""
+    pairs = df.sparkSession.createDataFrame([(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j],
+                                            "_i INT, _j INT, factor_a STRING, factor_b STRING")
+    return pairs.join(found, ["_i", "_j"], "left").select("factor_a", "factor_b", "corr")
 
 
-def complete_matrix(df, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair over rows that have all columns, from one Gram matrix.
-
-    The matrix has one row and column per factor of the registry, so it may pass through the driver.
-    """
-    x = VectorAssembler(inputCols=cols, outputCol="_x").transform(df.dropna(subset=cols)).select("_x")
-    m = Correlation.corr(x, "_x").first()[0].toArray()
-    rows = [(a, b, None if np.isnan(m[i][j]) else float(m[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
-    return df.sparkSession.createDataFrame(rows, "factor_a STRING, factor_b STRING, corr DOUBLE")
+def corr_matrix(df, cols: list[str]) -> DataFrame:
+    """Pearson correlation of every column pair i < j over the rows that have both, from one scan and map-side sums."""
+    return _named_pairs(df, cols, _column_pairs(df, cols).groupBy("_i", "_j").agg(corr("_x", "_y").alias("corr")))
 
 
-def spearman_matrix(df, keys: list[str], cols: list[str]) -> DataFrame:
-    """Spearman correlation of every column pair: all columns ranked in one long job, then one aggregate."""
-    d = df.dropna(subset=cols).select(*keys, *cols)
-    long = d.unpivot(keys, cols, "_name", "_value")
-    ranks = cs.avg_rank(long, ["_name"], "_value", "_rank")
-    wide = ranks.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == c, F.col("_rank"))).alias(c) for c in cols])
-    return corr_matrix(wide, cols) if len(cols) <= 18 else complete_matrix(wide, cols)
+def spearman_matrix(df, cols: list[str]) -> DataFrame:
+    """Spearman correlation of every column pair i < j; each pair is ranked over the rows that have both."""
+    found = cs.rank_corr(_column_pairs(df, cols), ["_i", "_j"], "_x", "_y", min_n=2).withColumnRenamed("rank_ic", "corr")
+    return _named_pairs(df, cols, found)
 
 
-def spearman_pairs(df, keys, cols, threshold: float) -> DataFrame:
+def spearman_pairs(df, cols, threshold: float) -> DataFrame:
     """Pairs at or over the threshold in absolute value, strongest first."""
-    m = spearman_matrix(df, keys, cols).filter(F.abs("corr") >= threshold)
+    m = spearman_matrix(df, cols).filter(F.abs("corr") >= threshold)
     return m.orderBy(F.abs("corr").desc(), "factor_a", "factor_b")
 
 

@@ -163,16 +163,25 @@ class Roll:
         s, sr = F.sum(_col(x)).over(f), F.sum(_col(x) * rn).over(f)
         return self._full(n, (sr - (rn - n) * s) / (n * (n + 1) / 2), x)
 
-    def ema(self, x, n: int, depth: int = 8) -> Column:
-        """Exponential average, alpha = 2/(n+1), normalised weights over the last ``depth * n`` rows.
+    def ema(self, x, n: int) -> Column:
+        """Exponential average over all earlier rows, alpha = 2/(n+1), normalised weights; reads the row number.
 
-        The weight left out beyond 8n rows is below 1e-6. Missing values are skipped.
+        A missing value has no weight of its own but ages the rows before it. Weights are powers of the position in a stretch of
+        ``2 * half`` rows, so both sums run forward instead of over a sliding frame. Stretches lie in two phases, and each row
+        reads the one that reaches at least ``half`` rows back, where a weight is below e-27 and no longer moves a double.
         """
-        keep = 1.0 - 2.0 / (n + 1)
-        vals = F.collect_list(_col(x)).over(self.all.rowsBetween(-(depth * n - 1), 0))
-        start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-        step = lambda a, v: F.struct((a["s"] * keep + v).alias("s"), (a["w"] * keep + 1.0).alias("w"))
-        return F.aggregate(vals, start, step, lambda a: F.try_divide(a["s"], a["w"]))
+        if n == 1:
+            return self.ffill(x)
+        half, rn = 32 << (n - 1).bit_length(), F.col(RN)
+
+        def phase(shift: int) -> Column:
+            pos = rn + shift
+            w = Window.partitionBy(*self.by, F.floor(pos / (2 * half))).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+            grown = F.pow(F.lit((n + 1.0) / (n - 1.0)), pos % (2 * half))
+            weight = F.when(_col(x).isNotNull(), grown)
+            return F.try_divide(F.sum(_col(x) * grown).over(w), F.sum(weight).over(w))
+
+        return F.when((rn < 2 * half) | (rn % (2 * half) >= half), phase(0)).otherwise(phase(half))
 
     # two inputs
     def corr(self, x, y, n) -> Column:

@@ -12,7 +12,7 @@ from factorspark.operators import selection as se
 from factorspark.operators import stability as st
 from factorspark.plans import sqltext as q
 from factorspark.plans.inputs import R
-from factorspark.plans.q_scoring import _LIB, _MIC, _COLS, _REG, _SM, _RK
+from factorspark.plans.q_scoring import _LIB, _MIC, _COLS, _REG, _SM, pair_rank_corr
 from factorspark.plans.registry import query
 
 _DI = "di AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM sp))"
@@ -277,9 +277,9 @@ def _(t):
 
 
 # --- selection
-@query("j12_factor_pairs", f"WITH {_RK} {_SM}", "ud fp", "corr")
+@query("j12_factor_pairs", _SM, "ud fp", "corr")
 def _(t):
-    return sc.spearman_matrix(t.fp, ["symbol", "ts"], _COLS)
+    return sc.spearman_matrix(t.fp, _COLS)
 
 
 @query("j13_nearest_factor",
@@ -293,7 +293,7 @@ def _(t):
 @query("w49_select_uncorrelated", None, "", "ic ir")
 def _(t):
     names = {"factor": "momentum", "factor2": "volume", "factor3": "range"}
-    pairs = sc.spearman_matrix(t.fp, ["symbol", "ts"], ["factor", "factor2", "factor3"])
+    pairs = sc.spearman_matrix(t.fp, ["factor", "factor2", "factor3"])
     pairs = pairs.replace(names, subset=["factor_a", "factor_b"])
     m = sc.evaluate_library(t.fl).select("name", F.col("ic_mean").alias("ic"), "ir")
     return se.select_uncorrelated(m, pairs, 2, 0.1)
@@ -302,12 +302,12 @@ def _(t):
 @query("w51_redundant_groups", None, "", "mean_corr")
 def _(t):
     names = {"factor": "momentum", "factor2": "volume", "factor3": "range"}
-    pairs = sc.spearman_matrix(t.fp, ["symbol", "ts"], ["factor", "factor2", "factor3"]).replace(names, subset=["factor_a", "factor_b"])
+    pairs = sc.spearman_matrix(t.fp, ["factor", "factor2", "factor3"]).replace(names, subset=["factor_a", "factor_b"])
     m = sc.evaluate_library(t.fl).select("name", F.col("ic_mean").alias("ic"), "ir")
     return se.redundant_groups(m, pairs, 0.1)
 
 
 @query("a61_compare_factors",
-       f"""WITH {_RK} SELECT 'factor' AS factor_a, 'ret' AS factor_b, corr(factor, ret) AS corr FROM rk""", "ud fp", "corr")
+       pair_rank_corr("factor", "ret"), "ud fp", "corr")
 def _(t):
-    return sc.spearman_matrix(t.fp.dropna(subset=_COLS), ["symbol", "ts"], ["factor", "ret"])
+    return sc.spearman_matrix(t.fp, ["factor", "ret"])

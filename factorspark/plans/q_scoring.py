@@ -207,22 +207,26 @@ def _(t):
     return sc.corr_matrix(t.fp, _COLS)
 
 
-_RK = "rk AS (SELECT symbol, ts, " + ", ".join(f"{q.avg_rank(c, '1')} AS {c}" for c in _COLS) + \
-      " FROM fp WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _COLS) + ")"
-_SM = " UNION ALL ".join(f"SELECT '{a}' AS factor_a, '{b}' AS factor_b, corr({a}, {b}) AS corr FROM rk" for a, b in _PAIRS)
+def pair_rank_corr(a: str, b: str) -> str:
+    """Spearman of one pair, ranked over the rows that have both."""
+    return f"""SELECT '{a}' AS factor_a, '{b}' AS factor_b, corr(ra, rb) AS corr FROM (
+        SELECT {q.avg_rank(a, '1')} AS ra, {q.avg_rank(b, '1')} AS rb FROM fp WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
-@query("a43_spearman_pairs", f"WITH {_RK}, m AS ({_SM}) SELECT * FROM m WHERE abs(corr) >= 0.05", "ud fp", "corr")
+_SM = " UNION ALL ".join(pair_rank_corr(a, b) for a, b in _PAIRS)
+
+
+@query("a43_spearman_pairs", f"WITH m AS ({_SM}) SELECT * FROM m WHERE abs(corr) >= 0.05", "ud fp", "corr")
 def _(t):
-    return sc.spearman_pairs(t.fp, ["symbol", "ts"], _COLS, 0.05)
+    return sc.spearman_pairs(t.fp, _COLS, 0.05)
 
 
 @query("a44_heatmap",
-       f"""WITH {_RK}, m AS ({_SM}), h AS (SELECT factor_a AS x, factor_b AS y, corr AS value FROM m UNION ALL SELECT factor_b, factor_a, corr FROM m
+       f"""WITH m AS ({_SM}), h AS (SELECT factor_a AS x, factor_b AS y, corr AS value FROM m UNION ALL SELECT factor_b, factor_a, corr FROM m
        UNION ALL SELECT c, c, 1.0 FROM (SELECT unnest({_COLS}) AS c))
        SELECT x, y, value, CAST(list_position({_COLS}, x) - 1 AS BIGINT) AS x_pos, CAST(list_position({_COLS}, y) - 1 AS BIGINT) AS y_pos FROM h""", "ud fp", "value")
 def _(t):
-    return sc.heatmap(sc.spearman_matrix(t.fp, ["symbol", "ts"], _COLS), _COLS)
+    return sc.heatmap(sc.spearman_matrix(t.fp, _COLS), _COLS)
 
 
 @query("a46_factor_stability",

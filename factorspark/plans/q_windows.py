@@ -154,7 +154,7 @@ def _(t):
 
 @query("w17_ema", f"SELECT symbol, ts, {q.ema('close', 12)} AS ema12 FROM {_RN}", "th", "ema12 @ts")
 def _(t):
-    return t.th.select("symbol", "ts", R.ema("close", 12).alias("ema12"))
+    return R.number(t.th).select("symbol", "ts", R.ema("close", 12).alias("ema12"))
 
 
 @query("w18_rolling_corr",

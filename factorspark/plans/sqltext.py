@@ -36,11 +36,10 @@ def lag(x, n=1):
     return f"lag({x}, {n}) OVER {wall()}"
 
 
-def ema(x, n, depth=8):
-    """Needs column rn; the weights are rescaled by the row number, which cancels in the ratio."""
+def ema(x, n):
+    """Over the whole history. Needs column rn; the weights are rescaled by the row number, which cancels in the ratio."""
     keep = 1.0 - 2.0 / (n + 1)
-    f = w(depth * n)
-    return (f"(sum({x} * pow({keep!r}, -rn)) OVER {f}) / (sum(CASE WHEN {x} IS NOT NULL THEN pow({keep!r}, -rn) END) OVER {f})")
+    return (f"(sum({x} * pow({keep!r}, -rn)) OVER {wcum()}) / (sum(CASE WHEN {x} IS NOT NULL THEN pow({keep!r}, -rn) END) OVER {wcum()})")
 
 
 def avg_rank(x, by):

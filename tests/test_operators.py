@@ -212,17 +212,33 @@ def test_weights_sum_to_one(spark):
         assert sum(w.values()) == pytest.approx(1.0) and max(w, key=w.get) == "a" or method == "equal"
 
 
-def test_wide_correlation_matrices_agree(spark):
-    """Many columns take several aggregates or one Gram matrix; both equal pandas."""
-    x = pd.DataFrame(RNG.normal(size=(200, 20)), columns=[f"c{i:02d}" for i in range(20)]).assign(id=range(200))
-    d = spark.createDataFrame(x)
-    cols = list(x.columns[:20])
-    pear, spear = x[cols].corr(), x[cols].corr(method=lambda a, b: pd.Series(a).rank().corr(pd.Series(b).rank()))
-    for got, want in ((sc.corr_matrix(d, cols), pear), (sc.complete_matrix(d, cols), pear), (sc.spearman_matrix(d, ["id"], cols), spear)):
+def test_correlation_matrices_are_pairwise_complete(spark):
+    """A column that starts late costs only its own pairs rows; ties, and a column without values."""
+    cols = [f"c{i:02d}" for i in range(20)]
+    x = pd.DataFrame(RNG.normal(size=(200, 20)), columns=cols)
+    x.loc[:150, "c03"] = np.nan
+    x.loc[RNG.random(200) < 0.2, "c07"] = np.nan
+    x["c09"], x["c19"] = x["c09"].round(0), np.nan
+    d = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x.to_numpy()], ", ".join(f"{c} DOUBLE" for c in cols))
+    spear = pd.DataFrame({b: {a: x[[a, b]].dropna().rank().corr().iloc[0, 1] for a in cols if a != b} for b in cols})
+    for got, want in ((sc.corr_matrix(d, cols), x.corr()), (sc.spearman_matrix(d, cols), spear)):
         rows = got.collect()
         assert len(rows) == 190
         for r in rows:
-            assert r["corr"] == pytest.approx(want.loc[r["factor_a"], r["factor_b"]], abs=1e-9)
+            w = want.loc[r["factor_a"], r["factor_b"]]
+            assert r["corr"] is None if np.isnan(w) else r["corr"] == pytest.approx(w, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 26])
+def test_ema_sees_the_whole_history(spark, n):
+    """Over many stretches, from a first value that outweighs the rest, with missing rows."""
+    x = pd.Series(RNG.normal(size=4000))
+    x[0] = 1e12
+    x[RNG.random(4000) < 0.1] = np.nan
+    r = Roll()
+    d = spark.createDataFrame([("a", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "symbol STRING, ts INT, v DOUBLE")
+    got = r.number(d).select("ts", r.ema("v", n).alias("e")).toPandas().sort_values("ts")["e"].to_numpy()
+    np.testing.assert_allclose(got, x.ewm(span=n).mean().to_numpy(), rtol=1e-8, atol=1e-8)
 
 
 def test_greedy_selection(spark):
