@@ -102,10 +102,8 @@ def _(t):
        """WITH p AS (SELECT user_id AS account, event_type AS position, arg_max(value, ts) AS value FROM events GROUP BY 1, 2), e AS (SELECT user_id AS account, arg_max(value * 2 + 100, ts) AS equity FROM events GROUP BY 1)
        SELECT account, position, value / equity AS share FROM p JOIN e USING (account) WHERE value / equity > 0.5""", "", "share")
 def _(t):
-    base = scratch_path(t.spark, "concentration")
     s = events(t).select(c("user_id").alias("account"), c("event_type").alias("position"), "ts", "value", (c("value") * 2 + 100).alias("equity"))
-    sw.concentration_monitor(s, 0.5, f"{base}/out", f"{base}/checkpoint", availableNow=True).awaitTermination()
-    return t.spark.read.parquet(f"{base}/out").select("account", "position", "share")
+    return io.drain(state.concentration(s, 0.5), "concentration", "update", ["account", "position"]).filter("breach").select("account", "position", "share")
 
 
 @query("t08_alert_state")

@@ -6,6 +6,7 @@ State is a few numbers per key. A key's rows of one micro-batch arrive together,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -179,3 +180,43 @@ def trailing_exits(s: DataFrame, trail: float, key: str = "symbol", price: str =
 
     d = s.withWatermark("ts", delay).select(key, "ts", tie, price)
     return d.groupBy(key).applyInPandasWithState(fn, out, "mark DOUBLE", "append", NO_TIMEOUT)
+
+
+def concentration(s: DataFrame, limit: float, account: str = "account", position: str = "position", value: str = "value", equity: str = "equity") -> DataFrame:
+    """Share of each position in its account's equity, whenever a position goes over the limit, moves while over it, or comes back.
+
+    Kept per account: the newest equity and the newest value of each position held, however long ago it came; an older row
+    never replaces a newer one, so the last state of a key does not depend on how the rows fall into micro-batches. Of equal
+    instants the larger value counts. A missing value changes nothing; a position of value 0 is closed (its instant stays, so an older row cannot open it again).
+    Without positive equity there is no share. Runs in update mode: the row of a key's last micro-batch is its present state.
+    """
+    types = dict(s.dtypes)
+
+    def newer(old, us, v):
+        return old is None or (us, v) >= (old[0], old[1])
+
+    def fn(k, batches: Iterable[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
+        wealth, held = (json.loads(st.get[0]) if st.exists else (None, {}))
+        for rows in batches:
+            best = rows.dropna(subset=["_equity"]).sort_values(["us", "_equity"]).tail(1)
+            for us, v in zip(best["us"].tolist(), best["_equity"].tolist()):
+                wealth = [us, v] if newer(wealth, us, v) else wealth
+            best = rows.dropna(subset=["_position", "_value"]).sort_values(["us", "_value"]).groupby("_position", sort=True).tail(1)
+            for name, us, v in zip(best["_position"].tolist(), best["us"].tolist(), best["_value"].tolist()):
+                old = held.get(name)
+                if newer(old, us, v):
+                    held[name] = [us, v, old[2] if old else None]
+        out = []
+        for name, (us, v, told) in list(held.items()):
+            share = v / wealth[1] if wealth and wealth[1] > 0 else None
+            over = share is not None and share > limit
+            if (over and share != told) or (not over and told is not None):
+                out.append((k[0], name, share, over))
+            held[name][2] = share if over else None
+        st.update((json.dumps([wealth, held]),))
+        yield pd.DataFrame(out, columns=["account", "position", "share", "breach"])
+
+    d = s.select(F.col(account).alias("_account"), F.col(position).cast("string").alias("_position"), F.unix_micros("ts").alias("us"),
+                 F.col(value).cast("double").alias("_value"), F.col(equity).cast("double").alias("_equity")).filter(F.col("us").isNotNull())
+    out = f"account {types[account]}, position STRING, share DOUBLE, breach BOOLEAN"
+    return d.groupBy("_account").applyInPandasWithState(fn, out, "kept STRING", "update", NO_TIMEOUT)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from factorspark.functions import book as bk
 from factorspark.operators.asof import asof_join
 from factorspark.operators.resample import order_key
-from factorspark.operators.risk import concentration_breaches
 
 
 def stream_bars(s: DataFrame, freq: str, delay: str, by: str = "symbol", price: str = "price", size: str = "quantity", tie: str = "trade_id") -> DataFrame:
@@ -104,13 +103,3 @@ def asof_enrich(s: DataFrame, rates: Callable[[SparkSession], DataFrame], max_ga
         batch.unpersist()
     w = s.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return w.trigger(**trigger).start() if trigger else w.start()
-
-
-def concentration_monitor(s: DataFrame, limit: float, path: str, checkpoint: str, **trigger):
-    """Per micro-batch: latest value per (account, position) of the batch against its account's equity."""
-    def check(batch: DataFrame, batch_id: int) -> None:
-        pos = batch.groupBy("account", "position").agg(F.max_by("value", "ts").alias("value"))
-        eq = batch.groupBy("account").agg(F.max_by("equity", "ts").alias("equity"))
-        concentration_breaches(pos, eq, "account", limit).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-    w = s.writeStream.foreachBatch(check).option("checkpointLocation", checkpoint)
-    return w.trigger(**trigger).start() if trigger else w.start()

@@ -122,3 +122,18 @@ def test_asof_enrichment(spark, tmp_path):
     sw.asof_enrich(s, lambda _: rates, 7200, f"{base}/out", f"{base}/cp", availableNow=True).awaitTermination()
     d = spark.read.parquet(f"{base}/out").toPandas().sort_values("ts")
     assert list(d["funding_rate"][:2]) == [0.1, 0.2] and pd.isna(d["funding_rate"].iloc[2])
+
+
+def test_concentration_does_not_depend_on_the_batches(spark, tmp_path):
+    """Positions held from earlier files, equity that moves other positions over and back, a late row, a missing value."""
+    schema = "account INT, position STRING, ts TIMESTAMP, value DOUBLE, equity DOUBLE"
+    at = lambda m: pd.Timestamp(2024, 1, 1, 0, m).to_pydatetime()
+    feed = [(1, "a", at(1), 60.0, 100.0), (1, "b", at(2), 10.0, 100.0), (2, "a", at(3), 90.0, 100.0), (1, "b", at(4), None, 15.0), (2, "a", at(2), 10.0, 500.0),
+            (3, "a", at(1), 80.0, 100.0), (3, "b", at(5), 10.0, 400.0), (4, "a", at(1), 9.0, 0.0), (5, "a", at(1), 9.0, 10.0), (5, "a", at(2), 0.0, 10.0)]
+    want = {(1, "a", 4.0), (1, "b", 10.0 / 15.0), (2, "a", 0.9)}
+    for n, parts in enumerate(([feed], [[r] for r in feed], [[r] for r in reversed(feed)])):
+        path = str(tmp_path / f"in{n}")
+        for rows_ in parts:
+            spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(path)
+        got = io.drain(state.concentration(io.read_event_stream(spark, path, schema, 1), 0.5), "test", "update", ["account", "position"]).filter("breach")
+        assert {(r["account"], r["position"], r["share"]) for r in got.collect()} == want
