@@ -123,9 +123,7 @@ class Roll:
         return self.quantile(x, n, 0.5)
 
     def values(self, x, n) -> Column:
-        """Non-missing window values as an array; n stays small (250 at most)."""
-        if n > 250:
-            raise ValueError("array windows hold n values per row; keep n <= 250")
+        """Non-missing window values as an array; a row holds up to n values while it is computed."""
         return F.collect_list(_col(x)).over(self.frame(n))
 
     def mad(self, x, n) -> Column:

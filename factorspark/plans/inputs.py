@@ -51,7 +51,7 @@ CTE = {
     "fund8": """fund8 AS (SELECT event_type AS symbol, to_timestamp(floor(epoch(ts) / 28800) * 28800) AT TIME ZONE 'UTC' AS ts,
         (avg(value) - 50) / 10000 AS funding_rate FROM events GROUP BY 1, 2)""",
     "oi": """oi AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, sum(value) AS open_interest
-        FROM events WHERE value >= 20 GROUP BY 1, 2)""",
+        FROM events GROUP BY 1, 2)""",
     "ls": """ls AS (SELECT event_type AS symbol, date_trunc('day', ts) AS ts,
         (1.0 + count(*) FILTER (value > 50)) / (1.0 + count(*) FILTER (value <= 50)) AS long_short_ratio FROM events GROUP BY 1, 2)""",
     "liq": """liq AS (SELECT event_id, event_type AS symbol, ts, CASE WHEN event_id % 2 = 0 THEN 'sell' ELSE 'buy' END AS side,
@@ -165,8 +165,7 @@ class Inputs:
 
     @cached_property
     def oi(self) -> DataFrame:
-        return (self.table("events").filter(F.col("value") >= 20)
-                .groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts"))
+        return (self.table("events").groupBy(F.col("event_type").alias("symbol"), F.date_trunc("hour", "ts").alias("ts"))
                 .agg(F.sum("value").alias("open_interest")))
 
     @cached_property

@@ -155,9 +155,10 @@ def _(t):
     return aj.outer_align(t.oi, t.fund8, ["symbol", "ts"])
 
 
-@query("j09_anti_join", "SELECT symbol, ts, close FROM th WHERE NOT EXISTS (SELECT 1 FROM oi WHERE oi.symbol = th.symbol AND oi.ts = th.ts)", "th oi", "close @ts")
+@query("j09_anti_join", "SELECT symbol, ts, close FROM th WHERE NOT EXISTS (SELECT 1 FROM oi WHERE oi.symbol = 'click' AND oi.ts = th.ts)", "th oi", "close @ts")
 def _(t):
-    return aj.missing_rows(t.th.select("symbol", "ts", "close"), t.oi, ["symbol", "ts"])
+    clicks = t.oi.filter(F.col("symbol") == "click")  # the hours without a click are missing
+    return aj.missing_rows(t.th.select("symbol", "ts", "close"), clicks, ["ts"])
 
 
 _UNI = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
