@@ -2,9 +2,12 @@
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z. A block is a line, or a window of ``WINDOW`` words
 (every ``STEP`` words) of a longer line. A template is a set of words; a block meets it when it holds at least ``threshold`` of them.
+Notices are also wrapped over lines, or longer than a block: a template of k words is looked for in every window of 2 k consecutive words
+of the whole text, across newlines and from every start, and met there by the same threshold.
 The template words are ordered by how many blocks of the whole corpus hold them (rare first). A block can only meet a template of n
 words when it holds one of the n - ceil(threshold * n) + 1 rarest ones (prefix), has enough different words (length), and enough
-template words can still follow the first shared one in the order (position); what is left is compared exactly.
+template words can still follow the first shared one in the order (position); what is left is compared exactly. The windows of the whole
+text use the same prefix, and count their different words exactly by one pass over the places of template words.
 
 Null and empty texts: no words, no labels, score 0. Repeated rows get equal results. ``score`` is 1 where a phrase occurs, else the
 best containment found.
@@ -61,7 +64,9 @@ class Plan:
     def __init__(self, phrases: Mapping[str, str], templates: Sequence[tuple[str, str]], threshold: float):
         self.phrases = [(word_hashes(p), label) for p, label in phrases.items()]
         self.labels = [label for label, _ in templates]
-        self.sets = [np.unique(word_hashes(t)) for _, t in templates]
+        hashes = [word_hashes(t) for _, t in templates]
+        self.sets = [np.unique(h) for h in hashes]
+        self.reach = [2 * len(h) for h in hashes]
         self.words = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]))
         self.need = [ceil(threshold * len(s) - 1e-9) for s in self.sets]
         self.rank = np.arange(len(self.words))
@@ -112,6 +117,59 @@ def meets(plan: Plan, words: Words, buf: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out], np.int64), np.array([x[2] for x in out])
 
 
+def wrapped(plan: Plan, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, end word, template, best containment) of every stretch of overlapping windows of the whole texts that meet a template.
+
+    A window may start at a template word only: one that starts elsewhere holds no more than the one from its first template word. A
+    word counts for the starts after its last occurrence, so the different words of all windows come from one sum over differences.
+    """
+    found = member(plan.words, words.hash)
+    at = np.flatnonzero(found >= 0)
+    word, text = found[at], np.searchsorted(words.first, at, "right") - 1
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for t, (whole, prefix, need, reach) in enumerate(zip(plan.sorted, plan.prefix, plan.need, plan.reach, strict=True)):
+        keys = np.zeros((2, len(plan.words)), bool)
+        keys[0, whole], keys[1, prefix] = True, True
+        rare = at[keys[1][word]]
+        if not len(rare):
+            continue
+        mine = np.flatnonzero(keys[0][word])
+        p = at[mine]  # only places that can share a window with a word of the prefix
+        mine = mine[np.searchsorted(rare, p + reach) > np.searchsorted(rare, p - reach, "right")]
+        p, w, d = at[mine], word[mine], text[mine]
+        n = len(p)
+        order = np.argsort(w, kind="stable")
+        last = np.full(n, -1)
+        same = np.flatnonzero(w[order[1:]] == w[order[:-1]])
+        last[order[same + 1]] = order[same]
+        lowest = np.maximum(np.searchsorted(p, p - reach, "right"), np.searchsorted(d, d))
+        steps = np.bincount(np.maximum(last + 1, lowest), minlength=n + 1) - np.bincount(np.arange(n) + 1, minlength=n + 1)
+        held = np.cumsum(steps[:n])
+        hit = np.flatnonzero(held >= max(need, 1))
+        if not len(hit):
+            continue
+        new = np.append(True, (d[hit[1:]] != d[hit[:-1]]) | (p[hit[1:]] >= p[hit[:-1]] + reach))
+        begin = np.flatnonzero(new)
+        stop = np.append(begin[1:], len(hit)) - 1
+        end = np.minimum(p[hit[stop]] + reach, words.first[d[hit[stop]] + 1])
+        out.append((p[hit[begin]], end, np.full(len(begin), t), np.maximum.reduceat(held[hit], begin) / len(whole)))
+    first, end, template, share = (np.concatenate(x) for x in zip(*out, strict=True))
+    return first, end, template, share
+
+
+def apart(words: Words, buf: np.ndarray, first: np.ndarray, template: np.ndarray, a: np.ndarray, z: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Whether each stretch (words a to z, template t) touches none of the line blocks (first, template) that meet its template."""
+    out = np.ones(len(a), bool)
+    if len(first) and len(a):
+        begin, end = blocks(words, buf)
+        for k in np.unique(t).tolist():
+            b, s = np.sort(first[template == k]), np.flatnonzero(t == k)
+            if len(b):
+                before = np.searchsorted(b, z[s]) - 1
+                out[s] = (before < 0) | (end[np.searchsorted(begin, b[np.maximum(before, 0)])] <= a[s])
+    return out
+
+
 def frequencies(df: DataFrame, plan: Plan, text_col: str = "text") -> dict[int, int]:
     """Blocks of all texts that hold each template word; as many rows as template words."""
 
@@ -130,7 +188,8 @@ def frequencies(df: DataFrame, plan: Plan, text_col: str = "text") -> dict[int,
 
 def scan(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks) of every row; n_blocks counts the blocks that meet a template."""
+    """(id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks) of every row; n_blocks counts the
+    blocks that meet a template, and the stretches of windows over the whole text that do where no block does."""
     plan = Plan(phrases, templates, threshold)
     plan.order(frequencies(df, plan, text_col))
 
@@ -160,10 +219,12 @@ def scan(df: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Sequenc
                     for d in np.unique(docs).tolist():
                         base[row + d].add(label)
                 first, template, share = meets(plan, words, buf)
-                docs = text[first] if len(first) else first
-                np.add.at(n_blocks, row + docs, 1)
-                np.maximum.at(best, row + docs, share)
-                for d, t in set(zip(docs.tolist(), template.tolist(), strict=True)):
+                a, z, t, held = wrapped(plan, words)
+                alone = apart(words, buf, first, template, a, z, t)
+                np.add.at(n_blocks, row + text[np.concatenate([first, a[alone]])], 1)
+                docs = text[np.concatenate([first, a])]
+                np.maximum.at(best, row + docs, np.concatenate([share, held]))
+                for d, t in set(zip(docs.tolist(), np.concatenate([template, t]).tolist(), strict=True)):
                     more[row + d].add(plan.labels[t])
             hit = n_base > 0
             yield pa.RecordBatch.from_arrays([

@@ -308,6 +308,50 @@ def test_similarity_join_is_exact():
     assert set(zip(first.tolist(), template.tolist(), strict=True)) == want and want
 
 
+def test_license_windows_are_exact():
+    long = ("bsd", " ".join("w%d" % i for i in range(64)))
+    plan = licenses.Plan({}, (*licenses.TEMPLATES, long), 0.7)
+    rng = random.Random(7)
+    vocabulary = " ".join(t for _, t in licenses.TEMPLATES).split() + ["noise%d" % i for i in range(20)]
+    texts = ["\n".join(" ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    notices = [t for _, t in (*licenses.TEMPLATES, long)]
+    for _ in range(40):
+        source = rng.choice(notices).split()
+        spread = [x for w in source if rng.random() < 0.85 for x in [w, *(["noise1"] if rng.random() < 0.5 else [])]]
+        texts.append("\n".join(["a b c d e f g"] * rng.randint(0, 3) + [" ".join(spread[i:i + 4]) for i in range(0, len(spread), 4)] + [rng.choice(notices)]))
+    raw = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    words = licenses.Words(buf, offs)
+    plan.order({i: rng.randint(0, 9) for i in range(len(plan.words))})
+    want = {}
+    for d in range(len(texts)):
+        h = words.hash[words.first[d]:words.first[d + 1]].tolist()
+        for t, s in enumerate(plan.sets):
+            best = max((len(set(h[i:i + plan.reach[t]]) & set(s.tolist())) for i in range(len(h))), default=0)
+            if best >= plan.need[t]:
+                want[d, t] = best / len(s)
+    first, end, template, share = licenses.wrapped(plan, words)
+    got = defaultdict(float)
+    for d, t, x in zip(words.text_of()[first].tolist(), template.tolist(), share.tolist(), strict=True):
+        got[d, t] = max(got[d, t], x)
+    assert got == want and len(want) > 40 and (end > first).all()
+
+
+def test_wrapped_and_long_license_notices(spark):
+    rows = [(1, "# This work is licensed under the GNU General Public\n# License, version 3"),
+            (2, " * Permission is hereby granted, free of charge,\n * to any person obtaining a copy\n * of this software and associated\n * documentation files"),
+            (3, "Redistribution and use in source and binary\nforms, with or without modification,\nare permitted provided that\nthe following conditions are met"),
+            (4, "you may not use this file except in compliance\nwith the License. You may obtain a copy of\nthe License at www.apache.org/licenses/LICENSE-2.0"),
+            (5, "This work is licensed under the GNU General Public License, version 3"), (6, "This work is\n" + "other\n" * 60 + "licensed under the GNU General Public\n" + "other " * 60 + "License, version 3")]
+    got = {r[0]: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert [got[k]["labels"] for k in range(1, 7)] == ["gpl-3", "mit", "bsd", "apache-2", "gpl-3", ""]
+    assert all(got[k]["score"] >= 0.85 and got[k]["n_blocks"] == 1 for k in range(1, 6)) and got[6]["n_blocks"] == 0
+    names = ["w%d" % i for i in range(70)]
+    rows = [(1, "\n".join(names)), (2, " ".join(names)), (3, " ".join(names[:55]))]
+    got = {r[0]: (r["labels"], r["score"]) for r in licenses.scan(table(spark, rows), {}, [("own", " ".join(names))]).collect()}
+    assert got == {1: ("own", 1.0), 2: ("own", 1.0), 3: ("", 0.0)}
+
+
 def test_urls_against_brute_force(spark):
     rules = [*urls.RULES, ("allow", "b.example.net", "/"), ("block", "b.example.net", "/x"), ("block", "com", "/"), ("allow", "localhost", "/"), ("block", "a.b.c.d.org", "/fr/x")]
     hosts = ["example.net", "A.b.Example.NET", "b.example.net", "bexample.net", "net", "com", "localhost", "x.localhost", "a.b.c.d.org", "z.a.b.c.d.org", "d.org", "", "example.com"]
