@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.internal import InternalFunction
 
 from factorspark.functions.math import corr, div, safe_div
 
@@ -162,24 +163,14 @@ class Roll:
         return self._full(n, (sr - (rn - n) * s) / (n * (n + 1) / 2), x)
 
     def ema(self, x, n: int) -> Column:
-        """Exponential average over all earlier rows, alpha = 2/(n+1), normalised weights; reads the row number.
+        """Exponential average over all earlier rows, alpha = 2/(n+1), normalised weights.
 
-        A missing value has no weight of its own but ages the rows before it. Weights are powers of the position in a stretch of
-        ``2 * half`` rows, so both sums run forward instead of over a sliding frame. Stretches lie in two phases, and each row
-        reads the one that reaches at least ``half`` rows back, where a weight is below e-27 and no longer moves a double.
+        A missing value has no weight of its own but ages the rows before it, and gets the average of the last row that has one,
+        however long ago. Both sums are carried from row to row, so no gap and no length of the history loses or overflows them.
         """
         if n == 1:
             return self.ffill(x)
-        half, rn = 32 << (n - 1).bit_length(), F.col(RN)
-
-        def phase(shift: int) -> Column:
-            pos = rn + shift
-            w = Window.partitionBy(*self.by, F.floor(pos / (2 * half))).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
-            grown = F.pow(F.lit((n + 1.0) / (n - 1.0)), pos % (2 * half))
-            weight = F.when(_col(x).isNotNull(), grown)
-            return F.try_divide(F.sum(_col(x) * grown).over(w), F.sum(weight).over(w))
-
-        return F.when((rn < 2 * half) | (rn % (2 * half) >= half), phase(0)).otherwise(phase(half))
+        return InternalFunction.ewm(_col(x).cast("double"), 2.0 / (n + 1), False).over(self.all)
 
     # two inputs
     def corr(self, x, y, n) -> Column:

@@ -241,6 +241,21 @@ def test_ema_sees_the_whole_history(spark, n):
     np.testing.assert_allclose(got, x.ewm(span=n).mean().to_numpy(), rtol=1e-8, atol=1e-8)
 
 
+@pytest.mark.parametrize("n", [1, 2, 12, 26])
+def test_ema_over_long_gaps(spark, n):
+    """Gaps longer than any fixed look-back, one after two present rows in sequence, and a value every 480 rows."""
+    x = pd.Series(RNG.normal(100, 5, size=9000))
+    x[:7] = np.nan
+    x[130:2600] = np.nan
+    x[2602:5400] = np.nan
+    x[(x.index >= 5400) & (x.index % 480 != 0)] = np.nan
+    r = Roll()
+    d = spark.createDataFrame([(s, i, None if np.isnan(v) else float(v)) for s in "ab" for i, v in enumerate(x)], "symbol STRING, ts INT, v DOUBLE")
+    got = r.number(d).select("symbol", "ts", r.ema("v", n).alias("e")).toPandas().sort_values(["symbol", "ts"])
+    for _, g in got.groupby("symbol"):
+        np.testing.assert_allclose(g["e"].to_numpy(), x.ewm(span=n, ignore_na=False).mean().to_numpy(), rtol=1e-9)
+
+
 def test_greedy_selection(spark):
     names = [f"f{i}" for i in range(12)]
     ic = {n: float(v) for n, v in zip(names, RNG.permutation(np.linspace(0.01, 0.12, 12)))}
