@@ -3,8 +3,8 @@
 Texts are compared by characters, lower-cased, with runs of white space as one space. A text is contaminated by an item when some
 ``WINDOW`` characters of the item (all of a shorter one) occur in it with at most ``RATE`` times that many edits. By the q-gram lemma
 such a place shares at least w + 1 - q (e + 1) q-grams with the item window, on diagonals that differ by no more than e. Shared q-grams
-are counted in bands of diagonals that overlap by e, inside stretches of the window's length; stretches that reach the bound are
-aligned, window by window, by edit distance within the band.
+are counted in bands of diagonals that overlap by e, inside stretches of the window's length; of stretches that reach the bound every
+window that can hold one of their shared q-grams is aligned by edit distance within the band, until one is found.
 
 The benchmark is a stated query set: it goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, one pass over the texts
 each, so memory does not grow with it. Items of fewer than ``MIN_CHARS`` characters and null items match nothing; null and empty texts
@@ -176,6 +176,31 @@ def aligned(pattern: np.ndarray, text: np.ndarray, start: int, low: int, high: i
     return int(row[best]), int(start + len(pattern) + offset[best])
 
 
+def all_aligned(p: np.ndarray, w: int, first: int, last: int, text: np.ndarray, base: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """``aligned`` for each window p[j:j + w], first <= j <= last, at base + j, at once: (edits, ends)."""
+    n, size = last + 1 - first, high + 1 - low
+    offset = np.arange(low, high + 1, dtype=np.int32)
+    begin = base + first + low  # place of the text that the first window's lowest diagonal starts from
+    near = np.full(n + w + size - 1, -1, np.int64)
+    a, z = max(begin, 0), min(begin + len(near), len(text))
+    if a < z:
+        near[a - begin:z - begin] = text[a:z]
+    # row j, column k: near[j + k]
+    near = np.lib.stride_tricks.sliding_window_view(near, size)
+    row = np.zeros((n, size), np.int32)
+    far = 1 << 30
+    for r in range(w):
+        at = near[r:r + n]
+        new = row + (at != p[first + r:first + r + n, None])
+        new[at < 0] = far
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        new -= offset
+        row = np.minimum(np.minimum.accumulate(new, axis=1) + offset, far)
+    best = row.argmin(1)
+    j = np.arange(n)
+    return row[j, best], base + first + j + w + offset[best]
+
+
 def matches(index: Index, c: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) of the best verified window of every contaminated (text, item)."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -185,12 +210,17 @@ def matches(index: Index, c: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int
             continue
         w, e, p = int(index.window[item]), int(index.edits[item]), index.chars[item]
         text, base = c[offs[doc]:offs[doc + 1]], int(offs[doc])
-        lo, hi = max(0, min(first, len(p) - w)), max(0, min(max(last - w, first), len(p) - w))
-        for j in sorted({lo, hi, *range(max(0, lo - w // 2), min(hi + w // 2, len(p) - w) + 1, 4)}, key=lambda x: (abs(x - lo), x)):
-            edits, end = aligned(p[j:j + w], text, band - base + j, -e, width + 2 * e)
-            if edits <= e:
-                best[doc, item] = min(best.get((doc, item), (1 << 30, 0, 0)), (edits, max(end - w, 0), end))
-                break
+        lo = max(0, min(first, len(p) - w))
+        edits, end = aligned(p[lo:lo + w], text, band - base + lo, -e, width + 2 * e)
+        if edits > e:  # a window of the item that holds a shared q-gram starts from first - (w - q) to last - q
+            low, high = max(0, min(first - (w - Q), len(p) - w)), max(0, min(last - Q, len(p) - w))
+            every, ends = all_aligned(p, w, low, high, text, band - base, -e, width + 2 * e)
+            good = np.flatnonzero(every <= e)
+            if not len(good):
+                continue
+            k = good[np.argmin(np.abs(good + low - lo))]
+            edits, end = int(every[k]), int(ends[k])
+        best[doc, item] = min(best.get((doc, item), (1 << 30, 0, 0)), (edits, max(end - w, 0), end))
     for (doc, item), (edits, start, end) in sorted(best.items()):
         yield doc, item, start, end, edits
 

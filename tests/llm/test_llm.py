@@ -224,6 +224,46 @@ def test_decontamination(spark):
     assert decontam.find(table(spark, []), bench).count() == 0 and decontam.find(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_short_passages_in_every_phase():
+    """Passages of 80 to 85 characters with 5 to 7 edits, against all windows of all items at all places of the text."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    item = "".join(rng.choice(letters) for _ in range(230)).replace("  ", " x").strip()
+    texts = []
+    for k in range(300):
+        size, at = 80 + k % 6, rng.randrange(0, len(item) - 85)
+        x = list(item[at:at + size])
+        where = [1, *rng.sample(range(8, size), 4 + k % 3)] if k % 2 else rng.sample(range(size), 5 + k % 3)
+        for i in where:
+            x[i] = rng.choice(["#", "#", "", x[i] + "#"]) if k % 3 else "#"
+        texts.append(("9 8 " * rng.randrange(6) if k % 4 else "") + "".join(x) + ("7 6 " * rng.randrange(6)).rstrip())
+    index = decontam.Index.build([(1, item)])
+    raw = [t.encode() for t in texts]
+    c, offs = decontam.characters(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    p, w, e = index.chars[0], 80, 6
+    want, starts = set(), np.arange(len(p) - w + 1)
+    for d in range(len(texts)):
+        t = c[offs[d]:offs[d + 1]]
+        row, at = np.zeros((len(starts), len(t) + 1), int), np.arange(len(t) + 1)
+        for r in range(w):
+            new = row + 1
+            new[:, 1:] = np.minimum(new[:, 1:], row[:, :-1] + (t != p[starts + r][:, None]))
+            row = np.minimum.accumulate(new - at, axis=1) + at
+        if row.min() <= e:
+            want.add(d)
+    got = list(decontam.matches(index, c, offs))
+    assert {x[0] for x in got} == want and 100 < len(want) < 300
+    assert all(x[4] <= e for x in got)
+
+
+def test_alignment_of_all_windows_is_that_of_each():
+    rng = random.Random(9)
+    for _ in range(60):
+        p, t = (np.array([ord(rng.choice("ab")) for _ in range(n)], np.uint32) for n in (12, 20))
+        every, ends = decontam.all_aligned(p, 7, 0, 5, t, 2, -5, 9)
+        assert list(zip(every.tolist(), ends.tolist(), strict=True)) == [decontam.aligned(p[j:j + 7], t, 2 + j, -5, 9) for j in range(6)]
+
+
 def test_banded_alignment_against_brute_force():
     rng = random.Random(4)
     for _ in range(60):
