@@ -123,3 +123,18 @@ def lagged(df: DataFrame, cols: list[str], lags=(1, 5, 20), roll=None) -> DataFr
     from factorspark.operators.windows import Roll
     r = roll or Roll()
     return df.withColumns({f"{c}_lag_{k}": r.ref(c, k) for c in cols for k in lags})
+
+
+def ml_features(df: DataFrame, factor: str = "factor", window: int = 60, roll=None) -> DataFrame:
+    """Feature block of one factor next to its bars (close, volume); every value needs its full window."""
+    from factorspark.functions.math import div
+    from factorspark.operators.windows import Roll
+    r = roll or Roll()
+    ratio = lambda x, n: div(F.col(x), r.mean(x, n))
+    df = df.withColumn("return_1d", r.pct_change("close"))
+    return df.withColumns({
+        "factor_raw": F.col(factor), "factor_zscore": div(F.col(factor) - r.mean(factor, window), r.std(factor, window)),
+        "factor_rank": r.rank_percentile(factor, window) / 100 + 0.5 / window, "factor_ma_ratio": ratio(factor, window),
+        "factor_momentum": r.delta(factor, 5), "factor_momentum_10": r.delta(factor, 10),
+        "return_5d": r.pct_change("close", 5), "return_10d": r.pct_change("close", 10), "volatility_20d": r.std("return_1d", 20),
+        "ma_ratio_20": ratio("close", 20), "ma_ratio_60": ratio("close", 60), "volume_ma_ratio": ratio("volume", 20)})

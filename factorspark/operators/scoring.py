@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions.math import corr, div, norm_cdf
 from factorspark.operators import cross_section as cs
+from factorspark.operators.performance import sharpe
 from factorspark.operators.windows import Roll
 
 
@@ -196,6 +197,28 @@ def spearman_matrix(df, cols: list[str]) -> DataFrame:
     return _named_pairs(df, cols, found)
 
 
+def factor_sharpe(df, cols: list[str], fwd: str = "fwd", by=("ts",), ppy: float = 252) -> DataFrame:
+    """(factor, sharpe) of the portfolio that holds each date's z-scores of the factor; dates where it is flat do not count."""
+    x = F.col("_x")
+    long = df.unpivot([*by, fwd], [F.col(c).cast("double").alias(c) for c in cols], "factor", "_x").filter(x.isNotNull() & F.col(fwd).isNotNull())
+    r = long.groupBy("factor", *by).agg(div(F.covar_pop(x, F.col(fwd)), F.stddev_pop(x)).alias("_r"))
+    return r.groupBy("factor").agg(sharpe(F.col("_r"), ppy).alias("sharpe"))
+
+
+def compare_factors(df, cols: list[str], fwd: str = "fwd", by=("ts",), ppy: float = 252, min_n: int = 11) -> DataFrame:
+    """(factor, other, corr, sharpe, rank): the whole Spearman matrix of the chosen factors, each pair over the rows that have both
+    (NULL under ``min_n`` of them, 1 on the diagonal), and the rank by Sharpe, best first; a missing Sharpe counts as 0."""
+    half = _named_pairs(df, cols, cs.rank_corr(_column_pairs(df, cols), ["_i", "_j"], "_x", "_y", min_n=min_n).withColumnRenamed("rank_ic", "corr"))
+    sides = F.array(F.struct(F.col("factor_a").alias("factor"), F.col("factor_b").alias("other")), F.struct(F.col("factor_b").alias("factor"), F.col("factor_a").alias("other")))
+    matrix = half.select(F.explode(sides).alias("_s"), "corr").select("_s.factor", "_s.other", "corr")
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "factor STRING")
+    matrix = matrix.unionByName(names.select("factor", F.col("factor").alias("other"), F.lit(1.0).alias("corr")))
+    ranked = names.join(factor_sharpe(df, cols, fwd, by, ppy), "factor", "left")
+    # one row per chosen factor
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.coalesce("sharpe", F.lit(0.0)).desc(), "factor")))
+    return matrix.join(ranked, "factor")
+
+
 def spearman_pairs(df, cols, threshold: float) -> DataFrame:
     """Pairs at or over the threshold in absolute value, strongest first."""
     m = spearman_matrix(df, cols).filter(F.abs("corr") >= threshold)

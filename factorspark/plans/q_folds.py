@@ -253,6 +253,12 @@ def _(t):
     return po.lagged(t.th, ["close", "volume"]).drop("open", "high", "low", "close", "volume", "trades")
 
 
+@query("w48_ml_feature_block", None, "", "")
+def _(t):
+    d = t.th.withColumn("factor", R.pct_change("close", 3))
+    return po.ml_features(d).drop("open", "high", "low", "close", "volume", "trades", "factor")
+
+
 @query("a26_concentration",
        f"""WITH s AS (SELECT ts, signal AS weight, abs(signal) / sum(abs(signal)) OVER (PARTITION BY ts) AS sh FROM {_F})
        SELECT ts, sum(sh * sh) AS herfindahl, max(abs(weight)) AS max_position, avg(abs(weight)) AS mean_position FROM s GROUP BY 1""", "ud fp", "herfindahl max_position mean_position @ts")
@@ -311,3 +317,8 @@ def _(t):
        pair_rank_corr("factor", "ret"), "ud fp", "corr")
 def _(t):
     return sc.spearman_matrix(t.fp, ["factor", "ret"])
+
+
+@query("a61_compare_factor_list", None, "", "corr sharpe")
+def _(t):
+    return sc.compare_factors(t.fp, ["factor", "factor2", "factor3"])

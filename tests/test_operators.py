@@ -256,6 +256,42 @@ def test_ema_over_long_gaps(spark, n):
         np.testing.assert_allclose(g["e"].to_numpy(), x.ewm(span=n, ignore_na=False).mean().to_numpy(), rtol=1e-9)
 
 
+def test_ml_feature_block(spark, bars, bars_pd):
+    d = bars.withColumn("factor", F.col("close") - F.col("open"))
+    got = po.ml_features(d).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    for s, b in bars_pd.groupby("symbol"):
+        f, c, v = b["close"] - b["open"], b["close"], b["volume"]
+        m = f.rolling(60)
+        want = {"factor_raw": f, "factor_zscore": (f - m.mean()) / m.std(), "factor_rank": m.rank(pct=True), "factor_ma_ratio": f / m.mean(), "factor_momentum": f.diff(5),
+                "factor_momentum_10": f.diff(10), "return_1d": c.pct_change(), "return_5d": c.pct_change(5), "return_10d": c.pct_change(10),
+                "volatility_20d": c.pct_change().rolling(20).std(), "ma_ratio_20": c / c.rolling(20).mean(), "ma_ratio_60": c / c.rolling(60).mean(),
+                "volume_ma_ratio": v / v.rolling(20).mean()}
+        for name, w in want.items():
+            np.testing.assert_allclose(got.loc[got["symbol"] == s, name].to_numpy(float), w.to_numpy(), rtol=1e-7, atol=1e-9, err_msg=name)
+
+
+def test_compare_factors(spark):
+    p = pd.DataFrame(RNG.normal(size=(400, 4)), columns=["a", "b", "c", "fwd"])
+    p["ts"], p["c"] = np.arange(400) // 20, p["a"] + 0.5 * p["c"]
+    p["fwd"] += 0.3 * p["b"]
+    p.loc[RNG.random(400) < 0.2, "b"] = np.nan
+    p["d"] = np.where(p.index < 8, p["a"], np.nan)
+    d = spark.createDataFrame(p).replace(float("nan"), None)
+    got = sc.compare_factors(d, ["a", "b", "c", "d"]).toPandas()
+    want = p[["a", "b", "c", "d"]].corr(method="spearman", min_periods=11)
+    assert len(got) == 16
+    for r in got.itertuples():
+        w = 1.0 if r.factor == r.other else want.loc[r.factor, r.other]
+        assert np.isnan(w) and np.isnan(r.corr) or r.corr == pytest.approx(w)
+    sharpe = {}
+    for k in "abcd":
+        x = p.dropna(subset=[k]).groupby("ts").apply(lambda g: ((g[k] - g[k].mean()) / g[k].std(ddof=0) * g["fwd"]).mean(), include_groups=False)
+        sharpe[k] = x.mean() / x.std() * 252 ** 0.5
+    assert {r.factor: r.sharpe for r in got.itertuples()} == {k: pytest.approx(v, nan_ok=True) for k, v in sharpe.items()}
+    order = sorted("abcd", key=lambda k: -np.nan_to_num(sharpe[k]))
+    assert {r.factor: r.rank for r in got.itertuples()} == {k: i + 1 for i, k in enumerate(order)}
+
+
 def test_greedy_selection(spark):
     names = [f"f{i}" for i in range(12)]
     ic = {n: float(v) for n, v in zip(names, RNG.permutation(np.linspace(0.01, 0.12, 12)))}
