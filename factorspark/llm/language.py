@@ -2,7 +2,7 @@
 
 A language is a table of log-probabilities of byte 2-grams and hashed byte 4-grams (A-Z as a-z), learned from labelled texts. A text
 is cut into segments of 64 bytes, each drawn from one language; EM estimates the proportions of the languages in the text. The set of
-languages is chosen by penalised likelihood: best one, two, three, ... languages by proportion, each further one costs
+languages is chosen by penalised likelihood: best one, two, three, ... up to all learned languages by proportion, each further one costs
 ``penalty * log(segments + 1)``. The predicted language has the largest proportion in the chosen set; the score is its mean posterior.
 
 Training uses a bounded sample of labelled texts (``max_rows`` per language, chosen by a hash of the id). ``und`` with score 0 for null
@@ -99,7 +99,7 @@ def proportions(ll: np.ndarray, first: np.ndarray, allowed: np.ndarray, rounds:
     return theta, post, np.bincount(text, like, minlength=n)
 
 
-def predict(model: Model, buf: np.ndarray, offs: np.ndarray, penalty: float = 4.0, rounds: int = 12, max_languages: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def predict(model: Model, buf: np.ndarray, offs: np.ndarray, penalty: float = 4.0, rounds: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the language or -1, score, number of languages in the chosen set) per text."""
     first, ll = model.segments(buf, offs)
     n, k = len(first) - 1, len(model.languages)
@@ -107,13 +107,25 @@ def predict(model: Model, buf: np.ndarray, offs: np.ndarray, penalty: float = 4.
     theta, _, _ = proportions(ll, first, np.ones((n, k), bool), rounds)
     order = np.argsort(-theta, axis=1, kind="stable")
     best, chosen, size = np.full(n, -np.inf), np.zeros((n, k)), np.zeros(n, np.int64)
-    for m in range(1, min(k, max_languages) + 1):
-        allowed = np.zeros((n, k), bool)
-        np.put_along_axis(allowed, order[:, :m], True, axis=1)
-        _, post, like = proportions(ll, first, allowed, rounds if m > 1 else 1)
-        value = like - penalty * (m - 1) * np.log(np.diff(first) + 1)
-        better = value > best
-        best[better], chosen[better], size[better] = value[better], post[better], m
+    segments = np.diff(first)
+    text = np.repeat(np.arange(n), segments)
+    # no set has more than the sum of each segment's best language: a text is left out once no larger set can win
+    most = np.bincount(text, ll.max(1, initial=-np.inf), minlength=n)
+    left = np.arange(n)
+    for m in range(1, k + 1):
+        cost = penalty * (m - 1) * np.log(segments + 1)
+        left = left[most[left] - cost[left] > best[left]]
+        if not len(left):
+            break
+        mine = np.zeros(n, bool)
+        mine[left] = True
+        allowed = np.zeros((len(left), k), bool)
+        np.put_along_axis(allowed, order[left, :m], True, axis=1)
+        _, post, like = proportions(ll[mine[text]], np.concatenate([[0], np.cumsum(segments[left])]), allowed, rounds if m > 1 else 1)
+        value = like - cost[left]
+        better = value > best[left]
+        at = left[better]
+        best[at], chosen[at], size[at] = value[better], post[better], m
     lang = chosen.argmax(1)
     # confidence in the language: share of the text, times its posterior against all languages over the whole text
     whole = np.zeros((len(ll) + 1, k))

@@ -318,6 +318,18 @@ def test_language_mixture_and_held_out(spark):
     assert r["lang_pred"] == "fr" and r["n_languages"] == 2 and 0.4 < r["score"] < 0.8
 
 
+def test_language_mixture_of_more_than_four(spark):
+    rng = random.Random(10)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(40)] for k in "pqrstuv"}
+    say = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    known = spark.createDataFrame([(i, say(k, 200), k) for i, k in enumerate("pqrstuv" * 12)], "doc_id bigint, text string, lang string")
+    model = language.fit(known, F.lit(True))
+    rows = [(m, "\n".join(say(k, 150 + 20 * (k == "p")) for k in "pqrstuv"[:m])) for m in range(1, 8)]
+    got = {r[0]: r for r in language.detect(table(spark, rows), model).collect()}
+    assert [got[m]["n_languages"] for m in range(1, 8)] == list(range(1, 8))
+    assert all(got[m]["lang_pred"] == "p" and abs(got[m]["score"] - 170 / (170 + 150 * (m - 1))) < 0.05 for m in range(1, 8))
+
+
 def test_licenses_against_brute_force(spark):
     rows = documents() + EDGE + [(800, "Released under the MIT licence. Under the MIT License, under the mit license"), (801, "x " * 300 + "Apache License, Version 2.0 " + "y " * 300),
                                  (802, "you may obtain a copy of the License at www.apache.org/licenses/LICENSE-2.0 and you may not use this file except in compliance with the License")]
