@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factorspark.llm.alignment import op11_token_alignment
 from factorspark.llm.bpe import op6_bpe
+from factorspark.llm.collocations import OP12_SQL, op12_collocations
 from factorspark.llm.decontam import op1_decontaminate
 from factorspark.llm.exact import OP7_SQL, op7_exact_dedup
 from factorspark.llm.language import op10_language
 from factorspark.llm.licenses import op8_licenses
 from factorspark.llm.neardup import op4_neardup
 from factorspark.llm.quality import op5_quality
+from factorspark.llm.simhash import op13_simhash
 from factorspark.llm.suffix import op2_repeats
 from factorspark.llm.toxicity import op3_toxicity
 from factorspark.llm.urls import OP9_SQL, op9_urls
@@ -28,5 +31,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_urls": op9_urls,
     "op10_language": op10_language,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
+    "op13_simhash": op13_simhash,
 }
-ORACLE: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op9_urls": OP9_SQL}
+ORACLE: dict[str, str] = {"op7_exact_dedup": OP7_SQL, "op9_urls": OP9_SQL, "op12_collocations": OP12_SQL}
