@@ -12,9 +12,10 @@ bit so share a key: they are equal, or one is odd and reaches the other's codewo
 equal and another has at most one error (key: the equal segment and a codeword of the other), or each has exactly one (key: a codeword
 of each). Keys have 33 to 36 bits; a fingerprint has about 50 of them.
 
-Links. Fingerprints that share a key are compared bit by bit, without all pairs of a key: everyone first meets one member (a leader,
-another one each round), links are contracted to components, and only what then lies outside a key's largest component is compared
-with all of the key. No link between components is lost, as each linked pair shares a key.
+Links. Fingerprints that share a key are compared bit by bit. Two that have a key for themselves are compared where keys are counted.
+Of larger keys not all pairs are made: everyone first meets one member (a leader, another one each round, as long as rounds settle
+many), links are contracted to components, and only what then lies outside a key's largest component is compared with all of the key.
+No link between components is lost, as each linked pair shares a key.
 
 Every row has an output row; rows that repeat an id are rows of their own. A row with a null id takes part in the links, but is no
 component's least id; a component of such rows alone has a null one.
@@ -35,8 +36,8 @@ from factorspark.llm.tables import read
 from factorspark.session import cut_lineage
 
 WORDS, DISTANCE, SEED = 3, 3, 42
-#: Rounds in which the texts of a key meet one leader; more rounds only leave less to the exact comparison.
-LEADER_ROUNDS = 3
+#: Another round of leaders follows one that settled this share of the rows; more rounds only leave less to the exact comparison.
+SETTLED = 0.1
 #: First bit and number of bits of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, a fixed value.
@@ -166,17 +167,18 @@ def clusters(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
         raise ValueError("the keys reach three bits")
     every = keyed(fps)
     # an aggregate feeds a join only from a checkpoint: its exchange then lies directly under the join, where a hot key is split
-    shared = cut_lineage(every.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key"))
-    rows = cut_lineage(every.join(shared, "key").withColumn("root", F.col("fp")))
-    links = rows.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    for k in range(LEADER_ROUNDS):
+    met = cut_lineage(every.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    links = cut_lineage(met.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b").distinct())
+    rows = cut_lineage(every.join(met.where("n > 2").select("key"), "key").withColumn("root", F.col("fp")))
+    left, k = rows.count(), 0
+    while left:
         lead = cut_lineage(rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)), "fp", "root")).alias("lead")).select("key", "lead.fp", "lead.root"))
-        met = rows.alias("x").join(lead.alias("y"), F.col("x.key") == F.col("y.key")).where(_apart("x", "y", distance))
-        new = cut_lineage(_pairs(met, "x", "y"))
-        if new.isEmpty():
-            break
-        links = links.unionAll(new)
+        near = rows.alias("x").join(lead.alias("y"), F.col("x.key") == F.col("y.key")).where(_apart("x", "y", distance))
+        links = links.unionAll(cut_lineage(_pairs(near, "x", "y")))
         rows = _mixed(rows, cut_lineage(components(links)))
+        before, left, k = left, rows.count(), k + 1
+        if left > before * (1 - SETTLED):
+            break
     size = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     large = cut_lineage(size.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top")).select("key", F.col("top.root").alias("top")))
     few = cut_lineage(rows.join(large, "key").where("root <> top").select("key", "fp", "root"))
