@@ -10,7 +10,7 @@ from factorspark.plans.inputs import CTE
 from factorspark.plans.q_sources import books
 from factorspark.plans.registry import query
 from factorspark.session import scratch_path
-from factorspark.streaming import io, state
+from factorspark.streaming import io, ordered, state
 from factorspark.streaming import windows as sw
 
 c = F.col
@@ -112,6 +112,27 @@ def _(t):
     return io.drain(state.alert_state(s, 20.0, 600.0), "alerts")
 
 
+@query("t05_drawdown_ordered",
+       f"SELECT account, ts, event_id, peak, drawdown, CASE WHEN drawdown / 0.5 >= 1 THEN 'critical' WHEN drawdown / 0.5 >= 0.8 THEN 'danger' WHEN drawdown / 0.5 >= 0.6 THEN 'warning' ELSE 'normal' END AS level FROM ({_EQ}) WHERE ts <= {WM}", "", "peak drawdown @ts")
+def _(t):
+    s = events(t).select(c("user_id").alias("account"), "event_id", "ts", c("value").alias("equity"))
+    return io.drain(ordered.drawdown(s, 0.5), "drawdown_ordered")
+
+
+# islands of values over the threshold; an island ends with the next row that is not over it
+@query("t08_alert_timer",
+       f"""WITH e AS (SELECT event_type AS metric, ts, event_id, value, value > 20 AS hot, lag(value > 20) OVER w AS was FROM events WHERE ts <= {WM} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+       n AS (SELECT *, sum(CASE WHEN hot AND NOT coalesce(was, false) THEN 1 ELSE 0 END) OVER (PARTITION BY metric ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS i FROM e),
+       s AS (SELECT metric, i, min(ts) FILTER (hot) AS since, min(ts) FILTER (NOT hot) AS back, min_by(value, (ts, event_id)) FILTER (hot) AS first_value, min_by(value, (ts, event_id)) FILTER (NOT hot) AS back_value FROM n WHERE i > 0 GROUP BY 1, 2),
+       f AS (SELECT s.*, since + INTERVAL 600 SECOND AS due FROM s WHERE since + INTERVAL 600 SECOND <= coalesce(back, {WM}))
+       SELECT metric, since AS ts, 'pending' AS status, first_value AS value FROM s
+       UNION ALL SELECT f.metric, due, 'firing', (SELECT max_by(n.value, (n.ts, n.event_id)) FROM n WHERE n.metric = f.metric AND n.i = f.i AND n.hot AND n.ts < f.due) FROM f
+       UNION ALL SELECT metric, back, 'resolved', back_value FROM f WHERE back IS NOT NULL""", "", "value @ts")
+def _(t):
+    s = events(t).select(c("event_type").alias("metric"), "ts", "event_id", "value")
+    return io.drain(ordered.alerts(s, 20.0, 600.0), "alert_timer")
+
+
 _RULES = [("click", 200.0), ("view", 250.0), ("error", 100.0)]
 
 
@@ -131,6 +152,25 @@ def _(t):
     return io.drain(state.margin_monitor(s), "margin").filter("change <> 'close'").select("account", "ts", "level")
 
 
+@query("t10_margin_ordered",
+       f"""WITH l AS (SELECT user_id AS account, ts, event_id, CASE WHEN u >= 0.85 THEN 'critical' WHEN u >= 0.7 THEN 'danger' WHEN u >= 0.5 THEN 'warning' ELSE 'normal' END AS level FROM (SELECT *, value * 20 / (value * 10 + 1000) AS u FROM events)),
+       p AS (SELECT *, lag(level) OVER (PARTITION BY account ORDER BY ts, event_id) AS prev FROM l) SELECT account, ts, level FROM p WHERE (prev IS NULL OR prev <> level) AND ts <= {WM}""", "", "@ts")
+def _(t):
+    s = events(t).select(c("user_id").alias("account"), "ts", "event_id", (c("value") * 10 + 1000).alias("balance"), (c("value") * 20).alias("used"))
+    return io.drain(ordered.margin_levels(s), "margin_ordered")
+
+
+@query("t11_intake",
+       f"""WITH RECURSIVE e AS (SELECT user_id, ts, event_id, event_type FROM events WHERE ts <= {WM}),
+       a AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1 UNION ALL SELECT a.user_id, min(e.ts) FROM a JOIN e ON e.user_id = a.user_id AND e.ts > a.ts + INTERVAL 1 DAY GROUP BY a.user_id, a.ts),
+       x AS (SELECT a.user_id, a.ts AS at, e.ts, e.event_id, e.event_type, first_value(e.event_type) OVER w AS kept, row_number() OVER w AS r FROM a JOIN e ON e.user_id = a.user_id AND e.ts BETWEEN a.ts AND a.ts + INTERVAL 1 DAY
+             WINDOW w AS (PARTITION BY a.user_id, a.ts ORDER BY e.ts, e.event_id))
+       SELECT user_id, ts, event_id, CASE WHEN r = 1 THEN 'accepted' ELSE 'conflict' END AS status, event_type AS payload FROM x WHERE r = 1 OR event_type <> kept""", "", "@ts")
+def _(t):
+    s = events(t).select("user_id", "ts", "event_id", c("event_type").alias("payload"))
+    return io.drain(ordered.intake(s, "user_id", "payload", 86400.0), "intake")
+
+
 @query("t11_idempotent", "SELECT DISTINCT user_id FROM events")
 def _(t):
     return io.drain(sw.idempotent(events(t).select("user_id", "ts"), "user_id", "1 hour"), "dedup").select("user_id")
@@ -163,7 +203,13 @@ def _(t):
     return io.drain(state.trailing_exits(s, 0.5), "exits")
 
 
-CTE["rt"] = "rt AS (SELECT event_type AS symbol, ts, max(value) / 10000 AS funding_rate FROM events WHERE value >= 100 GROUP BY 1, 2)"
+@query("t14_trailing_ordered")
+def _(t):
+    s = events(t).select(c("user_id").alias("symbol"), "ts", "event_id", c("value").alias("price"))
+    return io.drain(ordered.trailing(s, 0.5), "exits_ordered")
+
+
+CTE["rt"] = "rt AS (SELECT event_type AS symbol, ts, max(value) / 10000 AS funding_rate FROM events GROUP BY 1, 2)"
 
 
 @query("t15_asof_stream",
@@ -173,7 +219,7 @@ CTE["rt"] = "rt AS (SELECT event_type AS symbol, ts, max(value) / 10000 AS fundi
 def _(t):
     base = scratch_path(t.spark, "asof")
     bars = events(t).select("event_id", c("event_type").alias("symbol"), "ts")
-    rates = lambda spark: (t.events.filter("value >= 100").groupBy(c("event_type").alias("symbol"), "ts").agg((F.max("value") / 10000).alias("funding_rate")))
+    rates = lambda spark: (t.events.groupBy(c("event_type").alias("symbol"), "ts").agg((F.max("value") / 10000).alias("funding_rate")))
     sw.asof_enrich(bars, rates, 1800, f"{base}/out", f"{base}/checkpoint", availableNow=True).awaitTermination()
     return t.spark.read.parquet(f"{base}/out").drop("batch")
 
