@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark.llm.tables import read
+from factorspark.llm.text import release
 
 #: A worker keeps the ids of so many different matches, twice; older ones go.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Matches of a text that are held at once.
 CHUNK = 1 << 16
 #: Ranks of pairs of ids that a task remembers.
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 250_000
 
 
 class Encoder(dict):
@@ -193,6 +194,7 @@ def tokenize(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                 right.append(back if with_ids else hashlib.sha256(back).hexdigest())
             kind = pa.binary() if with_ids else pa.string()
             yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(left, kind), pa.array(right, kind)], names=names)
+        release()
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string"))
     names = [id_col, "n_tokens", "ids", "decoded"] if with_ids else [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]

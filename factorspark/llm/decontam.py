@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark.llm.tables import read
-from factorspark.llm.text import member, mix, powers, slices
+from factorspark.llm.text import member, mix, powers, release, slices
 
 Q, WINDOW, RATE, MIN_CHARS = 8, 80, 0.08, 20
 BLOCK_CHARS = 2_000_000
@@ -252,6 +252,7 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
                         d, k, s, e, x = (list(v) for v in zip(*hits, strict=True))
                         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([row + v for v in d])), pa.array([index.ids[v] for v in k], item_arrow),
                                                           pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(x, pa.int64())], names=[id_col, item_col, "start", "end", "edits"])
+            release()
 
         found = df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
         out = found if out is None else out.unionAll(found)
@@ -272,6 +273,7 @@ def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text
                     for hit in matches(shared.value, *characters(buf, offs)):
                         keep[row + hit[0]] = False
                 yield b.filter(pa.array(keep))
+            release()
 
         df = df.mapInArrow(run, schema)
     return df

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from factorspark.llm.graph import components
 from factorspark.llm.tables import read
-from factorspark.llm.text import Words, mix, shingles, slices
+from factorspark.llm.text import Words, mix, release, shingles, slices
 from factorspark.session import cut_lineage
 
 WORDS, THRESHOLD = 5, 0.8
@@ -107,6 +107,7 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(keys[full]).reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), pa.array(size), *sums, lists], names=["id", "size", "m1", "m2", "bands"])
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, size bigint, m1 bigint, m2 bigint, bands array<bigint>")
@@ -123,6 +124,7 @@ def packed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ends = np.searchsorted(doc, np.arange(n + 1))
                 bag = [h[a:z].tobytes() + w[a:z].astype(np.uint32).tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(row, n), pa.array(bag, pa.binary())], names=["id", "bag"])
+        release()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, bag binary")
@@ -147,6 +149,7 @@ def verified(pairs: DataFrame, bag: DataFrame, threshold: float = THRESHOLD) ->
             x, y = b.column(2), b.column(3)
             keep = [similarity(x[i].as_py(), y[i].as_py()) >= threshold for i in range(b.num_rows)]
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     kind = dict(pairs.dtypes)["a"]
     return both.mapInArrow(run, f"a {kind}, b {kind}")

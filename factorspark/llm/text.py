@@ -6,6 +6,7 @@ every script stay together); A-Z count as a-z. Nothing crosses from one text int
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,16 @@ IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+def release() -> None:
+    """Hand back what a worker holds after a task: the tables of this module, Arrow's pool, free pages of the C library where it can."""
+    _table.clear()
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorspark.llm.tables import bounded_sample, read, remainder
-from factorspark.llm.text import Words, member, mix, slices, totals
+from factorspark.llm.text import Words, member, mix, release, slices, totals
 
 #: Bytes of the word beginnings that can be voters.
 BEGINNINGS = (3, 4, 5, 6, 7, 9)
@@ -218,6 +218,7 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at), model) < threshold))
+        release()
 
     return df.mapInArrow(run, df.schema)
 
