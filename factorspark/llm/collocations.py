@@ -16,8 +16,9 @@ occurrence); sums over the blocks say which reach the threshold, and their point
 frequent as its first and its last n - 1 words, so it is sent only where both are frequent; nothing that may reach the threshold is left out.
 
 Collisions. Inside a block occurrences under one fingerprint are compared word by word with the first one, and different ones are sent
-apart. Across blocks a fingerprint can only bring too much together: the pointers of frequent fingerprints are turned into text, and
-the counts are summed again by the text itself.
+apart. Across blocks a fingerprint can only bring too much together; each row therefore carries 32 bits of a second fingerprint, over
+other word hashes. Where all rows of a frequent fingerprint agree in them, the text at the least pointer stands for all; where they do
+not, the text at every pointer is taken, and the counts are summed again by the text itself.
 
 Null and empty texts have no words. Repeated rows count each. Only lang and text are read.
 """
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorspark.llm.tables import read
-from factorspark.llm.text import Rolling, mix, powers
+from factorspark.llm.text import Rolling, mix, powers, release
 from factorspark.session import broadcast_if_small, cut_lineage, scratch_path
 
 WORDS, MIN_COUNT, TOP, SCALE = 5, 100, 2000, 1000
@@ -61,9 +62,13 @@ def pieces(text: str) -> list[bytes]:
 
 
 def blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(block, lang, n_words, words, ids): the vocabulary joined by line feeds and the packed word numbers of every block."""
+    """(block, lang, n_words, words, ids) of every block: the vocabulary joined by line feeds and the word numbers (their lowest bytes,
+    then their next ones, ...), both compressed, as they travel once a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor().compress
         base, made = TaskContext.get().partitionId() << 32, 0
         held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
         size: dict[str, int] = {}
@@ -74,7 +79,7 @@ def blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text", block_
             del size[lang]
             ids = np.concatenate(parts)
             made += 1
-            values = [base | made, lang, int(np.count_nonzero(ids)), b"\n".join(words), ids.tobytes()]
+            values = [base | made, lang, int(np.count_nonzero(ids)), pack(b"\n".join(words)), pack(ids.view(np.uint8).reshape(-1, 4).T.tobytes())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         for b in batches:
@@ -98,6 +103,7 @@ def blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text", block_
                         yield block(max(size, key=size.get))
         for lang in list(held):
             yield block(lang)
+        release()
 
     names, kinds = ["block", "lang", "n_words", "words", "ids"], [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
     rows = df.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string"))
@@ -108,18 +114,24 @@ class Block:
     """Fingerprints of a block's n-grams."""
 
     def __init__(self, lang: str, words: bytes, ids: bytes, bits: int = 64):
+        from xxhash import xxh3_64_intdigest
+        from zstandard import ZstdDecompressor
+
+        words, ids = map(ZstdDecompressor().decompress, (words, ids))
         self.mask = np.uint64((1 << bits) - 1)
         self.words = words.split(b"\n")
-        self.ids = np.frombuffer(ids, np.int32)
+        self.ids = np.ascontiguousarray(np.frombuffer(ids, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
         size = np.array([len(w) for w in self.words], np.int64)
         start = np.cumsum(size + 1) - size - 1
         # the language goes into the fingerprint, so that equal phrases of two languages are counted apart
         salt = np.frombuffer(lang.encode(), np.uint8)
         self.salt = Rolling(salt, raw=True).hash(np.array([0]), np.array([len(salt)]))[0]
         value = Rolling(np.frombuffer(words, np.uint8), raw=True).hash(start, start + size)
+        other = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         p, self.inverse = powers(len(self.ids) + 1)
-        self.sums = np.zeros(len(self.ids) + 1, np.uint64)
+        self.sums, self.others = np.zeros(len(self.ids) + 1, np.uint64), np.zeros(len(self.ids) + 1, np.uint64)
         np.cumsum(value[self.ids] * p[:len(self.ids)], out=self.sums[1:])
+        np.cumsum(other[self.ids] * p[:len(self.ids)], out=self.others[1:])
         self.end = np.flatnonzero(self.ids == 0)
 
     def starts(self, n: int) -> np.ndarray:
@@ -130,6 +142,10 @@ class Block:
     def prints(self, at: np.ndarray, n: int) -> np.ndarray:
         return mix((self.sums[at + n] - self.sums[at]) * self.inverse[at] + self.salt + np.uint64(n) * _LEVEL) & self.mask
 
+    def checks(self, at: np.ndarray, n: int) -> np.ndarray:
+        """32 bits of a second fingerprint."""
+        return (mix((self.others[at + n] - self.others[at]) * self.inverse[at]) >> np.uint64(32)).astype(np.int64)
+
     def grams(self, n: int, frequent: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(fingerprint, place of the first occurrence, number) of the block's different n-grams; of those whose first and last n - 1
         words have one of the ``frequent`` places' fingerprints, if given."""
@@ -165,23 +181,25 @@ class Block:
 
 
 def _level(made: DataFrame, n: int, marks: DataFrame | None, bits: int) -> DataFrame:
-    """(fp, block, at, n) of the blocks' n-grams. ``bits`` below 64 shortens fingerprints (for tests of collisions)."""
+    """(fp, place, block, n) of the blocks' n-grams; the place has 32 bits of the second fingerprint above it. ``bits`` below 64 shortens
+    the first one (for tests of collisions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 block, lang, words, ids, frequent = (b.column(k)[i] for k in range(5))
-                found = None if n == 1 else frequent.values.to_numpy() if frequent.is_valid else np.zeros(0, np.int64)
-                fp, at, count = Block(lang.as_py(), words.as_py(), ids.as_py(), bits).grams(n, found)
+                here = Block(lang.as_py(), words.as_py(), ids.as_py(), bits)
+                fp, at, count = here.grams(n, None if n == 1 else frequent.values.to_numpy())
+                place = here.checks(at, n) << 32 | at
                 for k in range(0, len(fp), 1 << 16):
                     cut = slice(k, k + (1 << 16))
                     f = fp[cut].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), block.as_py())), pa.array(at[cut].astype(np.int32)), pa.array(count[cut].astype(np.int32))],
-                                                     names=["fp", "block", "at", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(place[cut]), pa.array(np.full(len(f), block.as_py())), pa.array(count[cut].astype(np.int32))],
+                                                     names=["fp", "place", "block", "n"])
 
     rows = made.select("block", "lang", "words", "ids")
-    rows = rows.withColumn("marks", F.lit(None).cast("array<bigint>")) if marks is None else rows.join(marks, "block")
-    return rows.mapInArrow(run, "fp bigint, block bigint, at int, n int")
+    rows = rows.withColumn("marks", F.lit(None).cast("array<int>")) if marks is None else rows.join(marks, "block")
+    return rows.mapInArrow(run, "fp bigint, place bigint, block bigint, n int")
 
 
 def frequencies(df: DataFrame, lang_col: str = "lang", text_col: str = "text", min_count: int = MIN_COUNT, words: int = WORDS, block_words: int = BLOCK_WORDS,
@@ -189,33 +207,35 @@ def frequencies(df: DataFrame, lang_col: str = "lang", text_col: str = "text", m
     """((lang, phrase, size, f) of every phrase of one to ``words`` words with f >= min_count, (lang, n) of every language)."""
     spark = df.sparkSession
     path = scratch_path(spark, "collocations")
-    blocks(df, lang_col, text_col, block_words).write.option("compression", "zstd").parquet(path)
+    blocks(df, lang_col, text_col, block_words).write.parquet(path)
     made = spark.read.parquet(path)
+    group = Window.partitionBy("fp")  # a fingerprint has one row a block, so the group is no larger than the number of blocks
+    at, check = F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("place", 32)
     every, last = None, None
     for n in range(1, words + 1):
-        rows = _level(made, n, last, bits)
-        # a fingerprint has one row a block, so a window's group is no larger than the number of blocks
-        rows = rows.withColumn("f", F.sum("n").over(Window.partitionBy("fp"))).where(F.col("f") >= min_count)
-        frequent = cut_lineage(rows.select("block", "at", "n"))
-        # a block's own n-grams: the list is bounded by the block
-        last = cut_lineage(frequent.groupBy("block").agg(F.collect_list(F.col("at").cast("bigint")).alias("marks")))
-        level = frequent.select("block", F.struct(F.lit(n).alias("size"), "at", "n").alias("mark"))
+        # dealt as they are: columns that the window derives are not shuffled
+        rows = _level(made, n, last, bits).repartition("fp").withColumn("at", at).withColumns({"f": F.sum("n").over(group), "mixed": F.min(check).over(group) != F.max(check).over(group),
+                                                        "first": F.min(F.struct("block", "at")).over(group)}).where(F.col("f") >= min_count)
+        told = F.when(F.col("mixed"), F.struct("at", F.col("n").cast("bigint").alias("n"))).when(F.struct("block", "at") == F.col("first"), F.struct("at", F.col("f").alias("n")))
+        # a block's own n-grams: the lists are bounded by the block
+        level = cut_lineage(rows.groupBy("block").agg(F.collect_list("at").alias("marks"), F.collect_list(told).alias("told")))
+        last = level.select("block", "marks")
+        level = level.select("block", F.lit(n).alias("size"), F.col("told.at").alias("at"), F.col("told.n").alias("n")).where(F.size("at") > 0)
         every = level if every is None else every.unionAll(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                lang = b.column(0)[i].as_py()
+                lang, size = b.column(0)[i].as_py(), b.column(3)[i].as_py()
                 block = Block(lang, b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                size, at, count = (x.to_numpy() for x in b.column(3)[i].values.flatten())
+                at, count = b.column(4)[i].values.to_numpy(), b.column(5)[i].values.to_numpy()
                 for k in range(0, len(at), 1 << 16):
                     cut = slice(k, k + (1 << 16))
-                    phrases = [block.text(x, m) for x, m in zip(at[cut].tolist(), size[cut].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(size[cut]), pa.array(count[cut].astype(np.int64))],
+                    phrases = [block.text(x, size) for x in at[cut].tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(np.full(len(phrases), size, np.int32)), pa.array(count[cut])],
                                                      names=["lang", "phrase", "size", "n"])
 
-    marks = every.groupBy("block").agg(F.collect_list("mark").alias("marks"))
-    told = made.select("block", "lang", "words", "ids").join(marks, "block").select("lang", "words", "ids", "marks").mapInArrow(run, "lang string, phrase string, size int, n bigint")
+    told = made.select("block", "lang", "words", "ids").join(every, "block").select("lang", "words", "ids", "size", "at", "n").mapInArrow(run, "lang string, phrase string, size int, n bigint")
     counted = cut_lineage(told.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count))
     return counted, cut_lineage(made.groupBy("lang").agg(F.sum("n_words").alias("n")))
 
