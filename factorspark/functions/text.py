@@ -15,7 +15,7 @@ def calls(c: Column) -> Column:
     """Calls of an expression, inner ones first: array of (name, n, arg) with the lower-case name (empty for plain brackets), the
     number of arguments and the last argument, where each call inside it is written as ``()``. Blanks do not count; a bracket
     without its partner makes no call."""
-    words = F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
+    words = _words(c)
     level = lambda name, n, arg: F.array(F.struct(name.alias("name"), n.alias("n"), arg.alias("arg")))
     none = F.slice(level(F.lit(""), F.lit(0), F.lit("")), 1, 0)
     start = F.struct(none.alias("open"), none.alias("done"), F.lit("").alias("before"))
@@ -42,18 +42,27 @@ def _negative_last(found: Column, names: tuple[str, ...]) -> Column:
     return F.exists(found, lambda x: x["name"].isin(*names) & (x["n"] > 1) & x["arg"].rlike("^-[0-9]+$"))
 
 
+def _words(c: Column) -> Column:
+    """Words and single signs of an expression, in order; blanks only separate."""
+    return F.regexp_extract_all(c, F.lit(r"\w+|[^\w\s]"), F.lit(0))
+
+
+def _neighbours(c: Column) -> Column:
+    """Every word of an expression with the word after it."""
+    w = _words(c)
+    return F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.struct(a.alias("word"), b.alias("next")))
+
+
 def operators(c: Column) -> Column:
-    """Capitalised words that stand before an opening bracket, in order."""
-    before = F.split(c, r"\(")
-    names = F.transform(F.slice(before, F.lit(1), F.size(before) - 1), lambda x: F.regexp_extract(x, r"(\w+)\s*$", 1))
-    return F.filter(names, lambda x: F.substring(x, 1, 1).between("A", "Z"))
+    """Words with a capital first letter that come right before an opening bracket, in order and with repeats."""
+    called = F.filter(_neighbours(c), lambda x: (x["next"] == "(") & F.substring(x["word"], 1, 1).between("A", "Z"))
+    return F.transform(called, lambda x: x["word"])
 
 
 def fields(c: Column) -> Column:
-    """Distinct field names (what follows a dollar sign), sorted."""
-    after = F.split(c, r"\$")
-    names = F.transform(F.slice(after, F.lit(2), F.size(after)), lambda x: F.regexp_extract(x, r"^(?!\d)\w+", 0))
-    return F.array_sort(F.array_distinct(F.filter(names, lambda x: x != "")))
+    """Distinct words that come right after a dollar sign, sorted; a number is no name."""
+    named = F.filter(_neighbours(c), lambda x: (x["word"] == "$") & F.coalesce(x["next"].rlike(r"^\w"), F.lit(False)) & ~x["next"].rlike(r"^\d"))
+    return F.array_sort(F.array_distinct(F.transform(named, lambda x: x["next"])))
 
 
 def _walk(c: Column) -> Column:
@@ -115,6 +124,62 @@ def indicator_coverage(df: DataFrame, keywords: dict[str, tuple[str, str]], id_c
                     F.when(F.size("_a") > 0, F.size(F.array_intersect("_a", "_u")) / F.size("_a")).otherwise(1.0).alias("coverage"))
 
 
+# Names people write for the catalogue's indicators, and the functions or fields that compute them.
+INDICATOR_ALIASES = {
+    "RSI": ("rsi", "relative strength index", "relative strength", "overbought", "oversold"),
+    "MACD": ("macd", "moving average convergence divergence", "convergence divergence"),
+    "MOMENTUM": ("momentum", "mom"), "ROC": ("roc", "rate of change"), "SMA": ("sma", "ma", "moving average", "simple moving average"),
+    "EMA": ("ema", "exponential moving average", "exponential average"), "BOLLINGER": ("bollinger", "bollinger band", "bollinger bands", "bbands"),
+    "ATR": ("atr", "average true range", "true range"), "STOCHASTIC_K": ("stochastic", "stochastics", "stochastic oscillator", "kdj"),
+    "WILLIAMS_R": ("williams", "williams r", "percent r"), "CCI": ("cci", "commodity channel index", "commodity channel"),
+    "VOLUME_RATIO": ("volume ratio", "relative volume", "volume spike"), "DONCHIAN": ("donchian", "donchian channel", "price channel", "breakout"),
+    "VOLATILITY": ("volatility", "vol", "standard deviation", "realized volatility", "realised volatility"),
+    "CORRELATION": ("correlation", "corr"), "RANK": ("rank", "ranking", "percentile"), "VWAP": ("vwap", "volume weighted average price"),
+}
+INDICATOR_CALLS = {
+    "RSI": ("rsi",), "MACD": ("macd",), "MOMENTUM": ("delta", "momentum"), "ROC": ("roc", "ref"), "SMA": ("mean", "sma", "ma"), "EMA": ("ema",),
+    "BOLLINGER": ("bollinger",), "ATR": ("atr",), "STOCHASTIC_K": ("stochastic", "stochastic_k"), "WILLIAMS_R": ("williams_r",), "CCI": ("cci",),
+    "VOLUME_RATIO": ("volume_ratio",), "DONCHIAN": ("donchian", "max", "min"), "VOLATILITY": ("std", "var"), "CORRELATION": ("corr",),
+    "RANK": ("rank",), "VWAP": ("vwap",),
+}
+
+
+def alias_table(spark, aliases: dict[str, tuple[str, ...]], name: str = "alias") -> DataFrame:
+    """(indicator, alias): one row per alias, in lower case with single spaces."""
+    return spark.createDataFrame([(k, " ".join(a.lower().split())) for k, v in aliases.items() for a in v], f"indicator STRING, {name} STRING")
+
+
+def word_runs(c: Column, longest: int) -> Column:
+    """Distinct runs of 1 to ``longest`` neighbouring words of a text, lower case, joined by one space. Words are letters, digits and
+    underscores; what lies between them does not count."""
+    w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\w+"), F.lit(0))
+    runs = lambda k: F.zip_with(w, F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda _, i: F.when(i + k - 1 <= F.size(w), F.array_join(F.slice(w, i, F.lit(k)), " ")))
+    return F.array_distinct(F.array_compact(F.concat(*[runs(k) for k in range(1, longest + 1)])))
+
+
+def indicator_aliases(df: DataFrame, id_col: str, hypothesis: str = "hypothesis", text: str = "expr", aliases: dict | None = None, called: dict | None = None) -> DataFrame:
+    """Indicators that a hypothesis names by any alias against those whose functions its expression calls.
+
+    The word runs of a hypothesis meet the alias table in one equi join, so the work does not grow with the number of aliases; a text
+    without words, or NULL, asks for nothing and has coverage 1. The alias tables are dictionaries of the caller, a few hundred rows.
+    """
+    aliases, called = aliases or INDICATOR_ALIASES, called or INDICATOR_CALLS
+    longest = max(len(a.split()) for v in aliases.values() for a in v)
+    spark = df.sparkSession
+    runs = df.select(id_col, F.explode(word_runs(F.col(hypothesis), longest)).alias("alias"))
+    names = F.array_distinct(F.transform(calls(F.coalesce(F.col(text), F.lit(""))), lambda x: x["name"]))
+    uses = df.select(id_col, F.explode(names).alias("alias"))
+    asked = runs.join(F.broadcast(alias_table(spark, aliases)), "alias").select(id_col, "indicator", F.lit(1).alias("_a"), F.lit(0).alias("_u"))
+    used = uses.join(F.broadcast(alias_table(spark, called)), "alias").select(id_col, "indicator", F.lit(0).alias("_a"), F.lit(1).alias("_u"))
+    every = df.select(id_col, F.lit(None).cast("string").alias("indicator"), F.lit(0).alias("_a"), F.lit(0).alias("_u"))
+    met = asked.unionByName(used).unionByName(every).groupBy(id_col, "indicator").agg(F.max("_a").alias("_a"), F.max("_u").alias("_u"))
+    both = F.count_if((F.col("_a") == 1) & (F.col("_u") == 1))
+    wanted = F.count_if(F.col("_a") == 1)
+    lacking = F.array_join(F.array_sort(F.collect_list(F.when((F.col("_a") == 1) & (F.col("_u") == 0), F.col("indicator")))), ",")
+    return met.groupBy(id_col).agg(wanted.alias("requested"), both.alias("implemented"), lacking.alias("missing"),
+                                   F.when(wanted > 0, both / wanted).otherwise(1.0).alias("coverage"))
+
+
 def hash_id(*parts: Column, length: int = 12) -> Column:
     return F.substring(F.md5(F.lower(F.concat_ws(":", *parts))), 1, length)
 

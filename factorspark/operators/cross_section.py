@@ -10,6 +10,9 @@ shared by very many rows is only a skewed join key, which adaptive execution spl
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,9 +126,18 @@ def cs_rank_many(df: DataFrame, by: list[str], keys: list[str], values: list[str
 
 
 def group_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
-    """Attach group aggregates by aggregate-then-join; the aggregate combines map-side."""
+    """Attach group aggregates by aggregate-then-join; the aggregate combines map-side.
+
+    Both sides meet on the packed key. The aggregate is spread by the single columns, so it gets an exchange of its own before the
+    join, one row per group; adaptive execution splits a hot group only where exchanges feed both sides directly. Rows with a NULL
+    key get NULL.
+    """
+    key = next(k for k in ("_gk" + "_" * i for i in range(len(df.columns) + 1)) if k not in df.columns)
+    whole = [F.col(c).isNotNull() for c in by]
+    packed = F.when(reduce(and_, whole), F.struct(*by))
     stats = df.groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items()])
-    return df.join(stats, by, "left")
+    stats = stats.filter(reduce(and_, whole)).select(packed.alias(key), *aggs)
+    return df.withColumn(key, packed).join(stats, key, "left").drop(key)
 
 
 def cs_zscore(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:

@@ -137,10 +137,16 @@ def _(t):
     return tx.audit_expressions(ex(t)).select("id", "negative_lag", "negative_window", "future_column", "biased")
 
 
+# words and signs of an expression, each with the one after it
+_EXPR_WORDS = r"""w AS (SELECT id, expr, regexp_extract_all(expr, '\w+|[^\w\s]') AS ws FROM ex),
+       nb AS (SELECT id, expr, list_transform(generate_series(1, len(ws) - 1), lambda i: {'word': ws[i], 'next': ws[i + 1]}) AS nb FROM w),
+       nf AS (SELECT id, expr, CAST(len(list_filter(nb, lambda x: x.next = '(' AND left(x.word, 1) BETWEEN 'A' AND 'Z')) AS INTEGER) AS n_operators,
+         list_sort(list_distinct(list_transform(list_filter(nb, lambda x: x.word = '$' AND regexp_matches(x.next, '^[[:alpha:]_]')), lambda x: x.next))) AS names FROM nb)"""
+
+
 @query("p20_expression_complexity",
-       r"""WITH a AS (SELECT id, expr, CAST(len(list_transform(regexp_extract_all(expr, '\b[A-Z]\w*\s*\('), lambda x: rtrim(x, '( '))) AS INTEGER) AS n_operators,
-         array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(expr, '\$[[:alpha:]_]\w*'), lambda x: x[2:]))), ',') AS fields, CAST(length(expr) AS INTEGER) AS length,
-         list_transform(generate_series(1, length(expr)), lambda i: (length(replace(left(expr, i), ')', '')) - length(replace(left(expr, i), '(', '')))) AS d FROM ex),
+       f"""WITH {_EXPR_WORDS}, a AS (SELECT id, n_operators, array_to_string(names, ',') AS fields, CAST(length(expr) AS INTEGER) AS length,
+         list_transform(generate_series(1, length(expr)), lambda i: (length(replace(left(expr, i), ')', '')) - length(replace(left(expr, i), '(', '')))) AS d FROM nf),
        b AS (SELECT id, n_operators, fields, length, CAST(list_max(d) AS INTEGER) AS max_depth, list_min(d) >= 0 AND d[-1] = 0 AS balanced FROM a)
        SELECT *, 0.1 * (greatest(n_operators - 3, 0) + greatest(max_depth - 2, 0)) AS penalty, n_operators > 10 OR max_depth > 5 AS exceeds FROM b""", "ex", "penalty")
 def _(t):
@@ -148,7 +154,7 @@ def _(t):
 
 
 @query("p21_unknown_fields",
-       r"""SELECT id, f AS field FROM (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(expr, '\$[[:alpha:]_]\w*'), lambda x: x[2:]))) AS f FROM ex) WHERE f NOT IN ('close', 'open', 'volume', 'economy')""", "ex")
+       f"""WITH {_EXPR_WORDS} SELECT id, f AS field FROM (SELECT id, unnest(names) AS f FROM nf) WHERE f NOT IN ('close', 'open', 'volume', 'economy')""", "ex")
 def _(t):
     reg = t.spark.createDataFrame([(f,) for f in ("close", "open", "volume", "economy")], "field STRING")
     return tx.unknown_fields(ex(t), reg, "id")
@@ -166,6 +172,27 @@ def _(t):
     return tx.indicator_coverage(ex(t), KEYWORDS, "id")
 
 
+def _pairs(table):
+    return "(VALUES " + ", ".join(f"('{k}', '{a}')" for k, v in table.items() for a in v) + ")"
+
+
+# Every name an expression calls, and every run of words of a hypothesis, against the alias tables.
+@query("p22_indicator_aliases",
+       r"""WITH hw AS (SELECT id, regexp_extract_all(lower(hypothesis), '\w+') AS ws, regexp_extract_all(lower(expr), '\w+|[^\w\s]') AS es FROM ex),
+       al AS (SELECT * FROM """ + _pairs(tx.INDICATOR_ALIASES) + r""" AS x(indicator, alias)), cl AS (SELECT * FROM """ + _pairs(tx.INDICATOR_CALLS) + r""" AS x(indicator, name)),
+       asked AS (SELECT DISTINCT id, indicator FROM hw, al WHERE contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || alias || ' ')),
+       closed AS (SELECT id, es, i,
+         list_min(list_transform(generate_series(i + 1, len(es)), lambda j: list_sum(list_transform(es[i + 1:j], lambda e: CASE e WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END)))) AS lowest
+         FROM hw, unnest(generate_series(1, len(es) - 1)) AS u(i) WHERE es[i + 1] = '('),
+       used AS (SELECT DISTINCT id, indicator FROM closed JOIN cl ON es[i] = name WHERE lowest <= 0),
+       m AS (SELECT ex.id, count(a.indicator) AS requested, count(u.indicator) AS implemented,
+         coalesce(string_agg(a.indicator, ',' ORDER BY a.indicator) FILTER (u.indicator IS NULL AND a.indicator IS NOT NULL), '') AS missing
+         FROM ex LEFT JOIN asked a ON a.id = ex.id LEFT JOIN used u ON u.id = ex.id AND u.indicator = a.indicator GROUP BY 1)
+       SELECT *, CASE WHEN requested > 0 THEN implemented / requested ELSE 1.0 END AS coverage FROM m""", "ex", "coverage")
+def _(t):
+    return tx.indicator_aliases(ex(t), "id")
+
+
 # --- ledger
 @query("a33_trial_thresholds",
        """SELECT trial, sharpe, n_trials, th AS threshold, sharpe >= th AS passed FROM (SELECT trial, sharpe, n_trials,

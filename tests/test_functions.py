@@ -101,3 +101,32 @@ def test_cosine(spark):
 def test_audit_reads_nested_calls(spark, expr, lag, window):
     r = tx.audit_expressions(spark.createDataFrame([(expr,)], "expr STRING")).first()
     assert (r["negative_lag"], r["negative_window"]) == (lag, window)
+
+
+@pytest.mark.parametrize("expr, ops, names", [
+    ("Mean($close, 5) + Std ($open, 3)", ["Mean", "Std"], ["close", "open"]),
+    ("mean($close) * _F(1) + 3(2)", [], ["close"]),
+    ("Ref(Ref($a_1, 1), 2) / $a_1", ["Ref", "Ref"], ["a_1"]),
+    ("$1x + $ + close$", [], []), ("", [], []), (None, None, None)])
+def test_operators_and_fields_come_from_the_words(spark, expr, ops, names):
+    r = spark.createDataFrame([(expr,)], "expr STRING").select(tx.operators(F.col("expr")).alias("o"), tx.fields(F.col("expr")).alias("f")).first()
+    assert (r["o"], r["f"]) == (ops, names)
+
+
+def test_indicator_aliases(spark):
+    rows = [(1, "Use RSI, then the Moving-Average (20)!", "Mean($close, 20) / $close", 2, 1, "RSI", 0.5),
+            (2, "relative strength index when oversold", "RSI($close, 14)", 1, 1, "", 1.0),
+            (3, "strength of the index", "RSI($close, 14)", 0, 0, "", 1.0), (4, None, None, 0, 0, "", 1.0), (5, "", "", 0, 0, "", 1.0),
+            (6, "volatility; VOLATILITY and momentums", "Sum(Std($close, 5), 3)", 1, 1, "", 1.0),
+            (7, "atr of prices", "stdev($atr) + ATR", 1, 0, "ATR", 0.0)]
+    d = spark.createDataFrame([r[:3] for r in rows], "id INT, hypothesis STRING, expr STRING")
+    got = {r["id"]: tuple(r)[1:] for r in tx.indicator_aliases(d, "id").collect()}
+    assert got == {r[0]: r[3:] for r in rows}
+    assert tx.indicator_aliases(d.limit(0), "id").count() == 0
+
+
+def test_every_catalogue_indicator_has_an_alias():
+    from factorspark.factors.indicators import CATALOGUE
+    stems = {k.replace("_UPPER", "").replace("_LOWER", "") for k in CATALOGUE}
+    assert stems <= set(tx.INDICATOR_ALIASES), stems - set(tx.INDICATOR_ALIASES)
+    assert set(tx.INDICATOR_ALIASES) == set(tx.INDICATOR_CALLS)

@@ -379,3 +379,35 @@ def test_rank_buckets_accept_infinities_and_nan(spark):
     values = [float("-inf"), -1e300, -2.0, 0.0, 1e-300, 3.0, 1.7e308, float("inf"), float("nan")]
     rows = spark.createDataFrame(list(enumerate(values)), "i INT, x DOUBLE").select("i", value_bucket(F.col("x")).alias("b")).orderBy("i").collect()
     assert [r["b"] for r in rows] == sorted({r["b"] for r in rows})
+
+
+def test_group_stats_splits_a_hot_group(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        i = F.col("id")
+        d = spark.range(0, 60000, numPartitions=8).select(i.alias("row"), F.when(i % 2 == 0, 0).otherwise(i % 97).alias("ts"), (i % 13).cast("double").alias("v"))
+        z = cs.cs_zscore(d, ["ts"], "v", "z")
+        assert z.count() == 60000
+        z = cs.cs_zscore(d, ["ts"], "v", "z")
+        got = z.toPandas()
+        plan = z._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan, plan
+        pdf = d.toPandas()
+        g = pdf.groupby("ts")["v"]
+        want = (pdf["v"] - g.transform("mean")) / g.transform("std")
+        merged = got.merge(pdf.assign(w=want), on="row")
+        assert np.allclose(merged["z"], merged["w"])
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_group_stats_null_keys_and_clashing_names(spark):
+    d = spark.createDataFrame([(1, None, 1.0), (2, 1, 2.0), (3, 1, 4.0), (4, None, None)], "_gk INT, k INT, v DOUBLE")
+    got = {r["_gk"]: r["m"] for r in cs.group_stats(d, ["k"], m=F.avg("v")).collect()}
+    assert got == {1: None, 2: 3.0, 3: 3.0, 4: None}
+    assert cs.group_stats(d.limit(0), ["k"], m=F.avg("v")).count() == 0
