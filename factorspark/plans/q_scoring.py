@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factorspark.operators import benchmark as be
 from factorspark.operators import cross_section as cs
 from factorspark.operators import scoring as sc
 from factorspark.plans import sqltext as q
 from factorspark.plans.inputs import R
 from factorspark.plans.registry import query
+from factorspark.session import scratch_path
 
 
 @query("a05_ic_by_date", q.pearson("fp", "ts", "factor", "fwd"), "ud fp", "ic @ts")
@@ -246,46 +248,80 @@ _LIB = f"""WITH i AS ({q.spearman('fl', 'name, ts', 'value', 'fwd')}),
     p AS (SELECT *, 2 * (1 - {q.norm_cdf('abs(ic_mean / ic_std * sqrt(n))')}) AS p_value, CAST(row_number() OVER (ORDER BY abs(ic_mean) DESC, name) AS INTEGER) AS rank FROM s)"""
 
 
-@query("l20_evaluate_library", f"{_LIB} SELECT * FROM p", "ud fp fl", "ic_mean ic_std ic_skew ir hit_rate p_value")
+# The library of the benchmark: bar shape, price ratios, rolling families and ratio set over the daily panel, whose months have 30 days.
+_LIB_WINDOWS = (5, 10, 20)
+
+
+def _library_sql():
+    from factorspark.plans.q_factors import H, _ALL, _KLINE, _RATIO, _RATIO0
+    rolling = {k: e for k, e in _ALL.items() if any(k == k.rstrip("0123456789") + str(d) for d in _LIB_WINDOWS)}
+    ratio = {k: e for k, e in _RATIO.items() if any(str(d) in k for d in _LIB_WINDOWS)}
+    exprs = {**_KLINE, **{k: e for k, e in _RATIO0.items() if k != "VWAP0"}, **rolling, **ratio}
+    wide = ", ".join(f"({e}) AS {k}" for k, e in exprs.items())
+    sql = f"""{H.replace("FROM th", "FROM ud")}, lw AS (SELECT symbol, ts, {q.lag('close', -1)} / NULLIF(close, 0) - 1 AS fwd, {wide} FROM h),
+    ll AS (SELECT symbol, ts, fwd, name, round(CAST(value AS DOUBLE), 9) AS value FROM (UNPIVOT lw ON COLUMNS(* EXCLUDE (symbol, ts, fwd)) INTO NAME name VALUE value))"""
+    return list(exprs), sql
+
+
+LIBRARY, _LW = _library_sql()
+_EV = f"""WITH {_LW}, r AS (SELECT name, ts, fwd, {q.avg_rank('value', 'name, ts')} AS rx, {q.avg_rank('fwd', 'name, ts')} AS ry FROM ll WHERE fwd IS NOT NULL),
+    g AS (SELECT name, ts, {q.moving_corr('rx', 'ry')} AS rank_ic, covar_pop(rx, fwd) / NULLIF(stddev_pop(rx), 0) AS r FROM r GROUP BY 1, 2 HAVING count(*) >= 3),
+    sh AS (SELECT name, CASE WHEN stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) END AS sharpe FROM g GROUP BY 1),
+    s AS ({_summary('g', 'rank_ic', 'name')}),
+    p AS (SELECT s.*, sharpe, 2 * (1 - {q.norm_cdf('abs(ic_mean / ic_std * sqrt(n))')}) AS p_value,
+        CAST(row_number() OVER (ORDER BY round(abs(ic_mean), 9) DESC NULLS LAST, s.name) AS INTEGER) AS rank FROM s JOIN sh ON s.name = sh.name)"""
+
+
+def _panel(t):
+    return be.library_panel(t.ud, LIBRARY, digits=9)
+
+
+@query("l20_evaluate_library", f"{_EV} SELECT * FROM p", "ud", "ic_mean ic_std ic_skew ir hit_rate sharpe p_value", digits=5)
+def _(t):
+    return sc.evaluate_library(_panel(t))
+
+
+@query("l20_top_factors", f"{_EV} SELECT name, ic_mean, ir, sharpe, rank FROM p WHERE rank <= 20", "ud", "ic_mean ir sharpe", digits=5)
 def _(t):
-    return sc.evaluate_library(t.fl)
+    return sc.evaluate_library(_panel(t), top_n=20).select("name", "ic_mean", "ir", "sharpe", "rank")
 
 
 @query("a48_evaluation_summary",
-       f"""{_LIB} SELECT count(*) AS total, count(*) FILTER (abs(ic_mean) >= 0.02 AND abs(ir) >= 0.1) AS passed,
-       avg(CASE WHEN abs(ic_mean) >= 0.02 AND abs(ir) >= 0.1 THEN 1.0 ELSE 0.0 END) AS pass_rate, avg(ic_mean) AS avg_ic, avg(ir) AS avg_ir, arg_max(name, abs(ic_mean)) AS best FROM p""",
-       "ud fp fl", "pass_rate avg_ic avg_ir")
+       f"""{_EV} SELECT count(*) AS total, count(*) FILTER (abs(ic_mean) >= 0.02 AND abs(ir) >= 0.1) AS passed,
+       avg(CASE WHEN abs(ic_mean) >= 0.02 AND abs(ir) >= 0.1 THEN 1.0 ELSE 0.0 END) AS pass_rate, avg(ic_mean) AS avg_ic, avg(ir) AS avg_ir, avg(sharpe) AS avg_sharpe,
+       min(name) FILTER (rank = 1) AS best FROM p""", "ud", "pass_rate avg_ic avg_ir avg_sharpe", digits=5)
 def _(t):
     ok = (F.abs("ic_mean") >= 0.02) & (F.abs("ir") >= 0.1)
-    return sc.evaluate_library(t.fl).agg(
-        F.count("*").alias("total"), F.count_if(ok).alias("passed"), F.avg(ok.cast("double")).alias("pass_rate"), F.avg("ic_mean").alias("avg_ic"),
-        F.avg("ir").alias("avg_ir"), F.max_by("name", F.abs("ic_mean")).alias("best"))
+    return sc.evaluate_library(_panel(t)).agg(
+        F.count("*").alias("total"), F.count_if(ok).alias("passed"), F.avg(F.coalesce(ok, F.lit(False)).cast("double")).alias("pass_rate"), F.avg("ic_mean").alias("avg_ic"),
+        F.avg("ir").alias("avg_ir"), F.avg("sharpe").alias("avg_sharpe"), F.min(F.when(F.col("rank") == 1, F.col("name"))).alias("best"))
 
 
 @query("a66_benchmark_run",
-       f"""{_LIB} SELECT avg(ic_mean) AS mean_ic, quantile_cont(ic_mean, 0.5) AS median_ic, max(ic_mean) AS max_ic, avg(ir) AS mean_ir,
-       avg(CASE WHEN abs(ic_mean) >= 0.02 THEN 1.0 ELSE 0.0 END) AS pass_rate,
-       string_agg(name, ',' ORDER BY rank) FILTER (rank <= 10) AS top FROM p""", "ud fp fl", "mean_ic median_ic max_ic mean_ir pass_rate")
+       f"""{_EV} SELECT count(*) AS total, count(*) FILTER (abs(ic_mean) >= 0.03) AS passed, avg(abs(coalesce(ic_mean, 0))) AS mean_ic,
+       quantile_cont(abs(coalesce(ic_mean, 0)), 0.5) AS median_ic, max(abs(coalesce(ic_mean, 0))) AS max_ic, avg(coalesce(ir, 0)) AS mean_ir, avg(coalesce(sharpe, 0)) AS mean_sharpe,
+       avg(CASE WHEN abs(ic_mean) >= 0.03 THEN 1.0 ELSE 0.0 END) AS pass_rate, string_agg(name, ',' ORDER BY rank) FILTER (rank <= 10) AS top, count(*) AS recorded FROM p""",
+       "ud", "mean_ic median_ic max_ic mean_ir mean_sharpe pass_rate", digits=5)
 def _(t):
-    p = sc.evaluate_library(t.fl)
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= 10, F.struct("rank", "name")))), lambda e: e["name"]), ",")
-    return p.agg(F.avg("ic_mean").alias("mean_ic"), F.percentile("ic_mean", F.lit(0.5)).alias("median_ic"), F.max("ic_mean").alias("max_ic"),
-                 F.avg("ir").alias("mean_ir"), F.avg((F.abs("ic_mean") >= 0.02).cast("double")).alias("pass_rate"), top.alias("top"))
+    scores = be.evaluate(_panel(t))
+    path = scratch_path(t.spark, "ledger")
+    be.append_ledger(be.ledger_rows(scores, "run"), path)
+    recorded = t.spark.read.parquet(path).agg(F.count("*").alias("recorded"))
+    return be.benchmark_run(scores).join(F.broadcast(recorded))  # one row each
+
+
+_OWN = "CLOSE_MA5_RATIO"
 
 
 @query("a47_benchmark_factor",
-       f"""{_LIB}, o AS (SELECT avg(ic_mean) AS lib_ic, avg(ir) AS lib_ir FROM p WHERE name <> 'momentum'),
-       c AS (SELECT max(abs(corr)) AS max_corr FROM ({" UNION ALL ".join(f"SELECT corr(factor, {x}) AS corr FROM fp" for x in ("factor2", "factor3"))}))
-       SELECT ic_mean AS ic, lib_ic, lib_ir, abs(ic_mean) - abs(lib_ic) AS improvement, CAST(rank AS INTEGER) AS rank, max_corr, max_corr < 0.7 AS novel FROM p, o, c WHERE name = 'momentum'""",
-       "ud fp fl", "ic lib_ic lib_ir improvement max_corr")
+       f"""{_EV}, o AS (SELECT avg(ic_mean) AS lib_ic, avg(ir) AS lib_ir, avg(sharpe) AS lib_sharpe FROM p WHERE name <> '{_OWN}'),
+       j AS (SELECT b.name, a.value AS x, b.value AS y FROM ll a JOIN ll b ON a.symbol = b.symbol AND a.ts = b.ts AND a.name = '{_OWN}' AND b.name <> '{_OWN}'),
+       k AS (SELECT name, round(abs(rank_ic), 9) AS c FROM ({q.spearman('j', 'name', 'x', 'y', 20)}) WHERE rank_ic IS NOT NULL), c AS (SELECT max(c) AS max_corr, max(name) FILTER (c = (SELECT max(c) FROM k)) AS closest FROM k)
+       SELECT ic_mean AS ic, ir, sharpe, lib_ic, lib_ir, lib_sharpe, abs(ic_mean) - abs(lib_ic) AS improvement, rank, max_corr, closest, max_corr < 0.7 AS novel FROM p, o, c WHERE name = '{_OWN}'""",
+       "ud", "ic ir sharpe lib_ic lib_ir lib_sharpe improvement max_corr", digits=5)
 def _(t):
-    p = sc.evaluate_library(t.fl)
-    other = p.filter("name <> 'momentum'").agg(F.avg("ic_mean").alias("lib_ic"), F.avg("ir").alias("lib_ir"))
-    from factorspark.functions.math import corr
-    mc = t.fp.agg(F.greatest(F.abs(corr("factor", "factor2")), F.abs(corr("factor", "factor3"))).alias("max_corr"))
-    d = p.filter("name = 'momentum'").join(F.broadcast(other)).join(F.broadcast(mc))  # one row each
-    return d.select(F.col("ic_mean").alias("ic"), "lib_ic", "lib_ir", (F.abs("ic_mean") - F.abs("lib_ic")).alias("improvement"), "rank", "max_corr",
-                    (F.col("max_corr") < 0.7).alias("novel"))
+    panel = _panel(t)
+    return be.benchmark_factor(be.evaluate(panel), panel, _OWN)
 
 
 _RR = f"(SELECT symbol, ts, factor, fwd FROM fp WHERE factor IS NOT NULL AND fwd IS NOT NULL)"
