@@ -1,12 +1,17 @@
 """Vector similarity and clustering.
 
-Queries against stored vectors are a block scan: the query block (size checked) is shipped to every task,
+Up to ``BLOCK`` queries against stored vectors are a scan: the query block (size checked) is shipped to every task,
 each task multiplies it with its batches and keeps only its best k per query, and a final top-k merges them.
-No pair list is ever built.
+More queries meet the vectors in blocks of both sides, in one job (``blocked_knn``). No pair list is ever built.
+An index (``VectorIndex``) puts every vector in the cell of its nearest centre; a query is then compared exactly,
+but only with the cells nearest to it.
+
+Vectors that are NULL match nothing; a vector of length zero has cosine 0 with all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +24,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions import vectors as fv
 from factorspark.operators import cross_section as cs
+from factorspark.session import broadcast_if_small, cut_lineage, scratch_path
 
 # Largest query block sent to tasks at once: 1024 vectors of 1024 floats are 8 MB, and a block times one Arrow
 # batch of 10,000 rows is 80 MB of scores.
@@ -60,30 +66,143 @@ def _scan_block(vectors: DataFrame, ids: list, mat: np.ndarray, k: int, min_scor
     return vectors.select(id_col, vec).mapInPandas(scan, f"query_id {qtype}, {id_col} BIGINT, score DOUBLE")
 
 
+# Largest vector block of one group in memory, as doubles.
+BLOCK_BYTES = 32 << 20
+
+
+def _unit(col) -> np.ndarray:
+    x = np.stack([np.asarray(v, dtype=np.float64) for v in col])
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _meet(queries: DataFrame, vectors: DataFrame, score, schema: str, cell: str, query_id: str, id_col: str, vec: str, v_rows: int | None = None) -> DataFrame:
+    """Every vector block of a cell with every query block of the same cell, one group each.
+
+    A cell is cut into as many blocks as its rows need, so neither a large cell nor a popular one makes a large group; vectors are
+    repeated per query block and queries per vector block. The table of blocks has one row per cell that is asked for.
+    """
+    rows = F.lit(v_rows) if v_rows else F.greatest(F.floor(F.lit(BLOCK_BYTES) / F.greatest(F.col("_dim") * 8, F.lit(8))), F.lit(1))
+    have = vectors.groupBy(cell).agg(F.count("*").alias("_n"), F.max(F.size(vec)).alias("_dim"))
+    asked = queries.groupBy(cell).agg(F.count("*").alias("_m"))
+    shape = have.join(asked, cell).select(cell, F.ceil(F.col("_n") / rows).alias("_vbs"), F.ceil(F.col("_m") / F.lit(v_rows or BLOCK)).alias("_qbs"))
+    shape = broadcast_if_small(cut_lineage(shape))
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    v = vectors.join(shape, cell).select(cell, id_col, vec, F.pmod(F.xxhash64(id_col), "_vbs").alias("_vb"), upto("_qbs").alias("_qb"))
+    q = queries.join(shape, cell).select(F.col(cell).alias("_qc"), query_id, F.col(vec).alias("_q"), F.pmod(F.xxhash64(query_id), "_qbs").alias("_qb"), upto("_vbs").alias("_vb"))
+    return v.groupBy(cell, "_vb", "_qb").cogroup(q.groupBy("_qc", "_vb", "_qb")).applyInPandas(score, schema)
+
+
+def blocked_knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, query_id: str = "query_id", id_col: str = "vec_id", vec: str = "embedding",
+                cell: str | None = None, v_rows: int | None = None) -> DataFrame:
+    """k nearest vectors of any number of queries, best first, in one job over blocks of both sides.
+
+    With ``cell`` a query row is compared only with vectors of the same cell; a query may come with several cells, a vector with one.
+    Equal scores: the smaller id wins.
+    """
+    at = cell or "_cell"
+    one = lambda d: d if cell else d.withColumn(at, F.lit(0))
+    queries, vectors = one(queries.filter(F.col(vec).isNotNull())), one(vectors.filter(F.col(vec).isNotNull()))
+    types = dict(vectors.dtypes) | {"_q": dict(queries.dtypes)[query_id]}
+
+    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": [], id_col: [], "score": []})
+        v = v.sort_values(id_col, ignore_index=True)
+        x, out = _unit(v[vec]), []
+        for i in range(0, len(q), 64):
+            s = _unit(q["_q"].iloc[i:i + 64]) @ x.T
+            floor = np.full(len(s), -np.inf if min_score is None else min_score)
+            if s.shape[1] > k:
+                floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+            r, c = np.nonzero(s >= floor[:, None])
+            got = pd.DataFrame({"r": r, "c": c, "score": s[r, c]}).sort_values(["r", "score", "c"], ascending=[True, False, True]).groupby("r", sort=False).head(k)
+            out.append(pd.DataFrame({"query_id": q[query_id].to_numpy()[i + got["r"].to_numpy()], id_col: v[id_col].to_numpy()[got["c"].to_numpy()], "score": got["score"].to_numpy()}))
+        return pd.concat(out, ignore_index=True)
+
+    found = _meet(queries, vectors, score, f"query_id {types['_q']}, `{id_col}` {types[id_col]}, score DOUBLE", at, query_id, id_col, vec, v_rows)
+    return cs.top_n(found, ["query_id"], "score", k, id_col)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, min_score: float | None = None, query_id: str = "query_id", id_col: str = "vec_id", vec: str = "embedding",
         family: str | None = None, family_col: str = "label") -> DataFrame:
     """k nearest stored vectors by cosine for each query, best first; an optional family filter and score floor.
 
-    The query count is checked; more than one block is scanned block by block, each bounded by ``BLOCK``.
+    The query count is checked: up to ``BLOCK`` queries are one broadcast and one scan without a shuffle, more go through ``blocked_knn``.
     """
     if family is not None:
         vectors = vectors.filter(F.col(family_col) == family)
-    n = queries.select(F.lit(1)).count()
-    blocks = max(1, -(-n // BLOCK) * 2 if n > BLOCK else 1)
-    qtype = dict(queries.dtypes)[query_id]
-    q = queries.withColumn("_b", F.pmod(F.xxhash64(query_id), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = q.filter(F.col("_b") == b).select(query_id, vec).toPandas()
-        if not len(rows):
-            continue
-        mat = np.stack([np.asarray(v, dtype=np.float64) for v in rows[vec]])
-        norms = np.linalg.norm(mat, axis=1, keepdims=True)
-        mat = np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0)
-        ids = [x.item() if hasattr(x, "item") else x for x in rows[query_id]]
-        part = _scan_block(vectors, ids, mat, k, min_score, id_col, vec, qtype)
-        out = part if out is None else out.unionByName(part)
-    return cs.top_n(out, ["query_id"], "score", k, id_col)
+    queries, vectors = queries.filter(F.col(vec).isNotNull()), vectors.filter(F.col(vec).isNotNull())
+    rows = queries.select(query_id, vec).limit(BLOCK + 1).toPandas()
+    if not len(rows) or len(rows) > BLOCK:
+        return blocked_knn(queries, vectors, k, min_score, query_id, id_col, vec)
+    ids = [x.item() if hasattr(x, "item") else x for x in rows[query_id]]
+    found = _scan_block(vectors, ids, _unit(rows[vec]), k, min_score, id_col, vec, dict(queries.dtypes)[query_id])
+    return cs.top_n(found, ["query_id"], "score", k, id_col)
+
+
+class VectorIndex:
+    """Inverted file over unit vectors: centres of a bounded sample, and the cell of its nearest centre for every vector.
+
+    ``sample`` bounds the rows the centres are fitted on (expected number, taken by a hash of the id); every row is indexed. The centres
+    travel to the tasks: at most ``MAX_CELLS`` of them. The table of cells is written once to the shared folder.
+    """
+
+    SAMPLE = 50_000
+    MAX_CELLS = 4096
+
+    def __init__(self, vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, id_col: str = "vec_id", vec: str = "embedding", seed: int = 7):
+        self.id_col, self.vec = id_col, vec
+        v = vectors.filter(F.col(vec).isNotNull())
+        n = v.select(F.lit(1)).count()
+        self.cells = max(1, min(self.MAX_CELLS, cells or math.isqrt(max(n, 1)), max(1, n)))
+        share = min(1.0, sample / max(n, 1))
+        some = v.filter(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        some = _features(some, vec, unit=True).select("_x")
+        fitted = KMeans(k=self.cells, seed=seed, featuresCol="_x").fit(some).clusterCenters() if self.cells > 1 and n else []
+        self.centres = _unit(fitted) if len(fitted) else None
+        self.spark = vectors.sparkSession
+        path = scratch_path(self.spark, "vector-index")
+        self._near(v, 1).write.parquet(path)
+        self.table = self.spark.read.parquet(path)
+
+    def _near(self, df: DataFrame, cells: int) -> DataFrame:
+        """Add ``_cell``: one row per vector and each of its nearest ``cells`` centres, with ``_place`` from 1."""
+        if self.centres is None:
+            return df.withColumns({"_cell": F.lit(0), "_place": F.lit(1)})
+        bc, vec = self.spark.sparkContext.broadcast(self.centres), self.vec
+
+        @F.pandas_udf("array<int>")
+        def order(col: pd.Series) -> pd.Series:
+            if not len(col):
+                return pd.Series([], dtype=object)
+            c = bc.value
+            near = np.argsort(-(_unit(col) @ c.T), axis=1, kind="stable")[:, :min(cells, len(c))]
+            return pd.Series(list(near.astype(np.int32)))
+
+        d = df.withColumn("_near", order(vec))
+        return d.select(*df.columns, F.posexplode("_near").alias("_place", "_cell")).withColumn("_place", F.col("_place") + 1)
+
+    def search(self, queries: DataFrame, k: int, probes: int, min_score: float | None = None, query_id: str = "query_id") -> DataFrame:
+        """k nearest vectors of the ``probes`` cells nearest to each query, scored exactly; all cells give the exact answer."""
+        q = self._near(queries.filter(F.col(self.vec).isNotNull()).select(query_id, self.vec), probes).select(query_id, self.vec, "_cell")
+        return blocked_knn(q, self.table.select(self.id_col, self.vec, "_cell"), k, min_score, query_id, self.id_col, self.vec, cell="_cell")
+
+    def recall_curve(self, queries: DataFrame, k: int, query_id: str = "query_id") -> DataFrame:
+        """(probes, recall) for every number of probes, from one exact search: a true neighbour is found once its cell is among those probed."""
+        queries = queries.filter(F.col(self.vec).isNotNull())
+        true = knn(queries.select(query_id, self.vec), self.table, k, query_id=query_id, id_col=self.id_col, vec=self.vec).select("query_id", self.id_col)
+        place = self._near(queries.select(F.col(query_id).alias("query_id"), self.vec), self.cells).select("query_id", "_cell", "_place")
+        found = true.join(self.table.select(self.id_col, "_cell"), self.id_col).join(place, ["query_id", "_cell"])
+        at = found.groupBy("_place").agg(F.count("*").alias("_c"))  # one row per cell at most
+        whole = Window.partitionBy(F.lit(0))
+        upto = whole.orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return at.select(F.col("_place").alias("probes"), (F.sum("_c").over(upto) / F.sum("_c").over(whole)).alias("recall"))
+
+    def probes_for(self, queries: DataFrame, k: int, recall: float = 0.95, query_id: str = "query_id") -> int:
+        """Fewest probes that reach the recall on these queries, which the caller bounds."""
+        best = self.recall_curve(queries, k, query_id).filter(F.col("recall") >= recall).agg(F.min("probes")).first()[0]
+        return int(best) if best is not None else self.cells
 
 
 def near_duplicates(queries: DataFrame, vectors: DataFrame, threshold: float, **kw) -> DataFrame:
@@ -91,17 +210,19 @@ def near_duplicates(queries: DataFrame, vectors: DataFrame, threshold: float, **
     return knn(queries, vectors, 1, threshold, **kw).drop("rank")
 
 
-def similarity_matrix(df: DataFrame, ids: list | None = None, id_col: str = "vec_id", vec: str = "embedding", limit: int = 2000) -> DataFrame:
-    """Cosine of every ordered pair of a short list of vectors; the list length is checked.
+def similarity_matrix(df: DataFrame, ids: list | None = None, id_col: str = "vec_id", vec: str = "embedding", rows: int = 1000) -> DataFrame:
+    """Cosine of every ordered pair of the listed vectors: (a, b, score). The result has the square of the list's length by definition;
+    it is made in blocks of about ``rows`` times ``rows``, whatever the length."""
+    d = (df if ids is None else df.filter(F.col(id_col).isin(list(ids)))).filter(F.col(vec).isNotNull()).select(id_col, vec, F.lit(0).alias("_cell"))
+    t = dict(df.dtypes)[id_col]
 
-    Each row carries the whole list once as one array; no self join.
-    """
-    d = df if ids is None else df.filter(F.col(id_col).isin(list(ids)))
-    if d.select(F.lit(1)).limit(limit + 1).count() > limit:
-        raise ValueError(f"a full matrix is offered for up to {limit} vectors; use knn beyond")
-    everyone = d.agg(F.collect_list(F.struct(F.col(id_col).alias("b"), F.col(vec).alias("_vb"))).alias("_all"))  # one row, size checked
-    j = d.join(F.broadcast(everyone)).select(F.col(id_col).alias("a"), F.col(vec).alias("_va"), F.explode("_all").alias("_e"))
-    return j.select("a", F.col("_e.b").alias("b"), fv.cosine(F.col("_va"), F.col("_e._vb")).alias("score"))
+    def score(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"a": [], "b": [], "score": []})
+        s = _unit(q["_q"]) @ _unit(v[vec]).T
+        return pd.DataFrame({"a": np.repeat(q["_a"].to_numpy(), len(v)), "b": np.tile(v[id_col].to_numpy(), len(q)), "score": s.ravel()})
+
+    return _meet(d.withColumnRenamed(id_col, "_a"), d, score, f"a {t}, b {t}, score DOUBLE", "_cell", "_a", id_col, vec, v_rows=rows)
 
 
 def by_family(df: DataFrame, family, n: int, family_col: str = "label", id_col: str = "vec_id") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorspark.factors import register_factor
@@ -284,6 +285,41 @@ def _(t):
     return ve.knn(_cen(t), t.embeddings, 5, 0.1, family=3)
 
 
+# every stored vector whose id is divisible by 20 against all, itself included
+CTE["own"] = """own AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])
+    / NULLIF(sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 0) AS score
+    FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"""
+
+
+def _asked(t):
+    return t.embeddings.filter(c("vec_id") % 20 == 0).select(c("vec_id").alias("query_id"), "embedding")
+
+
+@query("v01_knn_blocked", "SELECT query_id, vec_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM own) WHERE r <= 10", "own", "score")
+def _(t):
+    return ve.blocked_knn(_asked(t), t.embeddings, 10, v_rows=100)
+
+
+@query("v01_knn_index")
+def _(t):
+    index = ve.VectorIndex(t.embeddings.select("vec_id", "embedding"))
+    return index.search(_asked(t), 10, index.probes_for(_asked(t), 10, 0.95))
+
+
+# searching every cell is the exact answer
+@query("v02_duplicates_index", "SELECT query_id, vec_id, score FROM own WHERE score >= 0.3 AND query_id <> vec_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) = 1", "own", "score")
+def _(t):
+    index = ve.VectorIndex(t.embeddings.select("vec_id", "embedding"))
+    found = index.search(_asked(t), 2, index.cells, 0.3).filter(c("query_id") != c("vec_id"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.withColumn("_r", best).filter(c("_r") == 1).select("query_id", "vec_id", "score")
+
+
+@query("v03_similarity_all", "SELECT query_id AS a, vec_id AS b, score FROM own WHERE vec_id % 20 = 0", "own", "score")
+def _(t):
+    return ve.similarity_matrix(_asked(t), id_col="query_id", rows=10)
+
+
 @query("v02_near_duplicates", "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sims) WHERE r = 1 AND score >= 0.25", "cen", "score")
 def _(t):
     return ve.near_duplicates(_cen(t), t.embeddings, 0.25)
