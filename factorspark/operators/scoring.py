@@ -254,7 +254,7 @@ def evaluate_library(long_df, name="name", x="value", y="fwd", by=("ts",), min_n
     holds the standardised ranks of each cross-section, and the rank by |IC|; with ``top_n`` only the best.
 
     IC and portfolio return come from the same aggregate over the ranks. Cross-sections under ``min_n`` complete rows do not count. |IC| is
-    compared to nine digits, ties by name.
+    compared to nine digits, ties by name; an IC that is zero to nine digits is no hit.
     """
     d = long_df.select(name, *by, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     d = cs.avg_ranks(d, [name, *by], {"_rx": x, "_ry": y})
@@ -264,7 +264,7 @@ def evaluate_library(long_df, name="name", x="value", y="fwd", by=("ts",), min_n
     mean, std = F.avg(v), F.stddev_samp(v)
     skew = F.when(n >= 3, F.skewness(v) * F.sqrt((n * (n - 1)).cast("double")) / (n - 2))
     s = g.groupBy(name).agg(mean.alias("ic_mean"), std.alias("ic_std"), skew.alias("ic_skew"), F.when(std > 0, mean / std).alias("ir"),
-                            F.avg((v > 0).cast("double")).alias("hit_rate"), n.alias("n"), sharpe(F.col("_r"), ppy).alias("sharpe"))
+                            F.avg((v > 1e-9).cast("double")).alias("hit_rate"), n.alias("n"), sharpe(F.col("_r"), ppy).alias("sharpe"))
     t = div(F.col("ic_mean"), F.col("ic_std")) * F.sqrt(F.col("n").cast("double"))
     s = s.withColumn("p_value", (1 - norm_cdf(F.abs(t))) * 2)
     # one row per factor name: a registry-sized table

@@ -266,9 +266,10 @@ def _library_sql():
 LIBRARY, _LW = _library_sql()
 _EV = f"""WITH {_LW}, r AS (SELECT name, ts, fwd, {q.avg_rank('value', 'name, ts')} AS rx, {q.avg_rank('fwd', 'name, ts')} AS ry FROM ll WHERE fwd IS NOT NULL),
     g AS (SELECT name, ts, {q.moving_corr('rx', 'ry')} AS rank_ic, covar_pop(rx, fwd) / NULLIF(stddev_pop(rx), 0) AS r FROM r GROUP BY 1, 2 HAVING count(*) >= 3),
-    sh AS (SELECT name, CASE WHEN stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) END AS sharpe FROM g GROUP BY 1),
+    sh AS (SELECT name, CASE WHEN stddev_samp(r) > 1e-12 THEN avg(r) / stddev_samp(r) * sqrt(252) END AS sharpe,
+        avg(CASE WHEN rank_ic > 1e-9 THEN 1.0 WHEN rank_ic <= 1e-9 THEN 0.0 END) AS hit FROM g GROUP BY 1),
     s AS ({_summary('g', 'rank_ic', 'name')}),
-    p AS (SELECT s.*, sharpe, 2 * (1 - {q.norm_cdf('abs(ic_mean / ic_std * sqrt(n))')}) AS p_value,
+    p AS (SELECT s.* REPLACE (hit AS hit_rate), sharpe, 2 * (1 - {q.norm_cdf('abs(ic_mean / ic_std * sqrt(n))')}) AS p_value,
         CAST(row_number() OVER (ORDER BY round(abs(ic_mean), 9) DESC NULLS LAST, s.name) AS INTEGER) AS rank FROM s JOIN sh ON s.name = sh.name)"""
 
 

@@ -21,11 +21,11 @@ NAMES = ["ROC5", "MA5", "STD5", "KMID", "CNTP5", "VMA5", "no_such_factor"]
 def bars(spark):
     rows = []
     for s in range(12):
-        close = 100 * np.exp(np.cumsum(RNG.normal(0, 0.02, 40)))
+        close = (100 * np.exp(np.cumsum(RNG.normal(0, 0.02, 40)))).tolist()
         for d in range(40):
             if (s + d) % 17 == 0:
                 continue
-            o = close[d] * (1 + RNG.normal(0, 0.01))
+            o = close[d] * (1 + float(RNG.normal(0, 0.01)))
             rows.append((s, datetime(2024, 1, 1) + timedelta(days=d), o, max(o, close[d]) * 1.01, min(o, close[d]) * 0.99, close[d], float(RNG.integers(1, 50))))
     return spark.createDataFrame(rows, "symbol INT, ts TIMESTAMP, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE, volume DOUBLE").repartition(3).cache()
 
@@ -58,7 +58,7 @@ def test_evaluation_equals_pandas(panel):
             ics.append(rx.corr(ry) if rx.std() > 0 else np.nan)
             held.append(np.cov(rx, day["fwd"], ddof=0)[0, 1] / rx.std(ddof=0) if rx.std() > 0 else np.nan)
         ics, held = pd.Series(ics), pd.Series(held)
-        out[name] = (ics.mean(), ics.mean() / ics.std(), ics.skew(), (ics.dropna() > 0).mean(), ics.count(), held.mean() / held.std() * np.sqrt(252))
+        out[name] = (ics.mean(), ics.mean() / ics.std(), ics.skew(), (ics.dropna() > 1e-9).mean(), ics.count(), held.mean() / held.std() * np.sqrt(252))
     want = pd.DataFrame(out, index=["ic_mean", "ir", "ic_skew", "hit_rate", "n", "sharpe"]).T.loc[got.index]
     for c in want.columns:
         assert np.allclose(got[c].astype(float), want[c].astype(float)), c
