@@ -377,6 +377,13 @@ def _(t):
     return ml.grid_search(t.fp.select("symbol", "ts", *_X, "fwd"), _X, {"maxDepth": [2, 3], "maxIter": [3]})
 
 
+@query("m05_model_search")
+def _(t):
+    from pyspark.ml.regression import LinearRegression
+    space = {"regParam": [0.0, 0.001, 0.01, 0.1], "elasticNetParam": [0.0, 0.5, 1.0]}
+    return ml.model_search(t.fp.select("symbol", "ts", *_X, "fwd"), _X, space, LinearRegression(), metric="sharpe", n=6)
+
+
 # --- user functions
 if "USER_GAP" not in FACTORS:
     @register_factor("USER_GAP", "user", ("open", "close"))

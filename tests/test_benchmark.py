@@ -163,3 +163,38 @@ def test_similarity_matrix_in_blocks(cloud):
     got = ve.similarity_matrix(df.filter("vec_id < 50"), rows=8).toPandas()
     assert len(got) == 2500
     assert np.allclose(got["score"], [u[a] @ u[b] for a, b in zip(got["a"], got["b"])])
+
+
+@pytest.fixture(scope="module")
+def groups(spark):
+    """Three groups far from each other in direction, of 30, 20 and 10 vectors."""
+    rows, i = [], 0
+    for g, size in enumerate((30, 20, 10)):
+        for _ in range(size):
+            v = RNG.normal(0, 0.05, 6)
+            v[2 * g] += 5
+            rows.append((i, g, v.tolist()))
+            i += 1
+    return spark.createDataFrame(rows, "vec_id BIGINT, g INT, embedding ARRAY<DOUBLE>").cache()
+
+
+def test_kmeans_finds_planted_groups(groups):
+    got = ve.kmeans(groups, 3).toPandas()
+    assert sorted(got["size"]) == [10, 20, 30] and (got["mean_similarity"] > 0.99).all() and (got["silhouette"] > 0.9).all()
+    pdf = groups.toPandas()
+    x = np.stack(pdf["embedding"])
+    for r in got.itertuples():
+        g = pdf.loc[pdf["vec_id"] == r.representative, "g"].iloc[0]
+        mine = (pdf["g"] == g).to_numpy()
+        d = ((x[mine] - x[mine].mean(axis=0)) ** 2).sum(axis=1)
+        assert mine.sum() == r.size and r.representative == pdf["vec_id"].to_numpy()[mine][d.argmin()]
+
+
+def test_elbow_and_bisecting(groups):
+    k, cost = ve.best_k(groups, 5)
+    x = np.stack(groups.toPandas()["embedding"])
+    assert np.isclose(cost[0], ((x - x.mean(axis=0)) ** 2).sum()) and cost == sorted(cost, reverse=True)
+    second = [cost[i - 1] - 2 * cost[i] + cost[i + 1] for i in range(1, 4)]
+    assert k == int(np.argmax(second)) + 2 and cost[2] < 0.01 * cost[0]
+    b = ve.bisecting(groups, 3).join(groups.select("vec_id", "g"), "vec_id").toPandas()
+    assert b.groupby("cluster")["g"].nunique().max() == 1 and b["cluster"].nunique() == 3
