@@ -297,7 +297,7 @@ def _asked(t):
 
 @query("v01_knn_blocked", "SELECT query_id, vec_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM own) WHERE r <= 10", "own", "score")
 def _(t):
-    return ve.blocked_knn(_asked(t), t.embeddings, 10, v_rows=100)
+    return ve.blocked_knn(_asked(t), t.embeddings, 10)
 
 
 @query("v01_knn_index")
@@ -317,7 +317,7 @@ def _(t):
 
 @query("v03_similarity_all", "SELECT query_id AS a, vec_id AS b, score FROM own WHERE vec_id % 20 = 0", "own", "score")
 def _(t):
-    return ve.similarity_matrix(_asked(t), id_col="query_id", rows=10)
+    return ve.similarity_matrix(_asked(t), id_col="query_id")
 
 
 @query("v02_near_duplicates", "SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sims) WHERE r = 1 AND score >= 0.25", "cen", "score")
