@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.math import corr, div, norm_cdf
+from factorspark.operators import column_corr
 from factorspark.operators import cross_section as cs
 from factorspark.operators.performance import sharpe
 from factorspark.operators.windows import Roll
@@ -171,30 +172,14 @@ def turnover(weights: DataFrame, by="symbol", ts="ts", w="weight") -> DataFrame:
     return per_date.join(F.broadcast(first), F.col(ts) > F.col("_first")).drop("_first")
 
 
-def _column_pairs(df, cols: list[str]) -> DataFrame:
-    """One row per input row and pair i < j of columns present in it. The plan does not grow with the columns."""
-    cells = F.filter(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]), lambda e: e["v"].isNotNull())
-    first = df.select(cells.alias("_c")).select("_c", F.posexplode("_c").alias("_p", "_a"))
-    both = first.select("_a", F.explode(F.slice("_c", F.col("_p") + 2, len(cols))).alias("_b"))
-    return both.select(F.col("_a.i").alias("_i"), F.col("_b.i").alias("_j"), F.col("_a.v").alias("_x"), F.col("_b.v").alias("_y"))
-
-
-def _named_pairs(df, cols: list[str], found: DataFrame) -> DataFrame:
-    """Every pair of the column list with its correlation, NULL where it has none."""
-    pairs = df.sparkSession.createDataFrame([(i, j, a, b) for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j],
-                                            "_i INT, _j INT, factor_a STRING, factor_b STRING")
-    return pairs.join(found, ["_i", "_j"], "left").select("factor_a", "factor_b", "corr")
-
-
 def corr_matrix(df, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every column pair i < j over the rows that have both, from one scan and map-side sums."""
-    return _named_pairs(df, cols, _column_pairs(df, cols).groupBy("_i", "_j").agg(corr("_x", "_y").alias("corr")))
+    """Pearson correlation of every column pair i < j over the rows that have both."""
+    return column_corr.pearson_pairs(df, cols)
 
 
-def spearman_matrix(df, cols: list[str]) -> DataFrame:
+def spearman_matrix(df, cols: list[str], min_n: int = 2) -> DataFrame:
     """Spearman correlation of every column pair i < j; each pair is ranked over the rows that have both."""
-    found = cs.rank_corr(_column_pairs(df, cols), ["_i", "_j"], "_x", "_y", min_n=2).withColumnRenamed("rank_ic", "corr")
-    return _named_pairs(df, cols, found)
+    return column_corr.spearman_pairs(df, cols, min_n)
 
 
 def factor_sharpe(df, cols: list[str], fwd: str = "fwd", by=("ts",), ppy: float = 252) -> DataFrame:
@@ -208,7 +193,7 @@ def factor_sharpe(df, cols: list[str], fwd: str = "fwd", by=("ts",), ppy: float
 def compare_factors(df, cols: list[str], fwd: str = "fwd", by=("ts",), ppy: float = 252, min_n: int = 11) -> DataFrame:
     """(factor, other, corr, sharpe, rank): the whole Spearman matrix of the chosen factors, each pair over the rows that have both
     (NULL under ``min_n`` of them, 1 on the diagonal), and the rank by Sharpe, best first; a missing Sharpe counts as 0."""
-    half = _named_pairs(df, cols, cs.rank_corr(_column_pairs(df, cols), ["_i", "_j"], "_x", "_y", min_n=min_n).withColumnRenamed("rank_ic", "corr"))
+    half = spearman_matrix(df, cols, min_n)
     sides = F.array(F.struct(F.col("factor_a").alias("factor"), F.col("factor_b").alias("other")), F.struct(F.col("factor_b").alias("factor"), F.col("factor_a").alias("other")))
     matrix = half.select(F.explode(sides).alias("_s"), "corr").select("_s.factor", "_s.other", "corr")
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "factor STRING")
