@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from factorspark.operators import fold_plan as fp
 from factorspark.operators import folds as fo
 from factorspark.operators import portfolio as po
 from factorspark.operators import regimes as rg
@@ -40,6 +41,17 @@ def _register_folds():
 _register_folds()
 
 
+_DK = "dk AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT DISTINCT symbol, ts FROM sp))"
+_PER_KEY = _FOLD["purged"].replace("SELECT ts,", "SELECT symbol, n, ts,").replace("FROM di", "FROM dk")
+
+
+@query("u05_fold_plan",
+       f"""WITH {_DK}, f AS ({_PER_KEY}), g AS (SELECT *, count(*) FILTER (role = 'train') OVER (PARTITION BY symbol, fold) AS n_train FROM f)
+       SELECT symbol, ts, fold, role FROM g WHERE n_train >= greatest(1, floor(n * 0.1))""", "sm sp", "@ts")
+def _(t):
+    return fp.plans_by(t.sp, "symbol", "purged")
+
+
 @query("w29_regime_stratified",
        f"""WITH d AS (SELECT DISTINCT label, ts FROM {_REG} WHERE label IS NOT NULL), k AS (SELECT label, ts, row_number() OVER (PARTITION BY label ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM d)
        SELECT s.symbol, s.ts, s.label, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.6) + floor(n * 0.2) THEN 'valid' ELSE 'test' END AS role
