@@ -10,6 +10,7 @@ from factorspark.plans.inputs import CTE
 from factorspark.plans.q_sources import books
 from factorspark.plans.registry import query
 from factorspark.session import scratch_path
+from factorspark.sources import keyed
 from factorspark.streaming import io, ordered, state
 from factorspark.streaming import windows as sw
 
@@ -34,8 +35,16 @@ def _(t):
 @query("s20_stream_sink_idempotent", "SELECT user_id, count(*) > 0 AS stored FROM events GROUP BY 1")
 def _(t):
     base = scratch_path(t.spark, "sink")
-    io.write_idempotent(events(t).select("user_id"), f"{base}/table", f"{base}/checkpoint", ["user_id"], availableNow=True).awaitTermination()
-    return t.spark.read.parquet(f"{base}/table").groupBy("user_id").agg((F.count("*") == 1).alias("stored"))
+    io.write_idempotent(events(t).select("user_id"), f"{base}/table", f"{base}/checkpoint", ["user_id"], buckets=16, availableNow=True).awaitTermination()
+    return keyed.read_inserted(t.spark, f"{base}/table").groupBy("user_id").agg((F.count("*") == 1).alias("stored"))
+
+
+@query("s17_stream_upserts", "SELECT user_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1", "", "value")
+def _(t):
+    base = scratch_path(t.spark, "upserts")
+    s = events(t).select("user_id", "value", F.struct("ts", "event_id").alias("at"))
+    io.write_upserts(s, f"{base}/table", f"{base}/checkpoint", ["user_id"], "at", buckets=16, availableNow=True).awaitTermination()
+    return keyed.read_upserted(t.spark, f"{base}/table").select("user_id", "value")
 
 
 @query("t01_stream_bars", f"SELECT symbol, ts, open, high, low, close, CAST(trades AS DOUBLE) AS volume FROM th WHERE ts + INTERVAL 1 HOUR <= {WM}", "th", "open high low close volume @ts")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factorspark import schemas
 from factorspark.session import scratch_path
-from factorspark.sources.store import append_new
+from factorspark.sources import keyed
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: str = schemas.EVENTS, files_per_trigger: int = 64) -> DataFrame:
@@ -43,18 +43,22 @@ def write_updates(s: DataFrame, path: str, checkpoint: str, mode: str = "update"
     return w.trigger(**trigger).start() if trigger else w.start()
 
 
-def write_idempotent(s: DataFrame, table: str, checkpoint: str, keys: list[str], **trigger):
-    """Insert only rows whose key the table lacks, batch by batch."""
+def write_idempotent(s: DataFrame, table: str, checkpoint: str, keys: list[str], buckets: int = keyed.BUCKETS, part: Column | None = None, **trigger):
+    """Insert only rows whose key the table lacks, batch by batch; a micro-batch reads the keys of the buckets it touches."""
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(table).filter(F.col("batch") != batch_id)
-            new = append_new(stored, batch, keys)
-        except Exception as e:  # first batch: nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            new = batch.dropDuplicates(keys)
-        new.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        batch.persist()
+        keyed.insert_new(batch, table, keys, batch_id, buckets, part)
+        batch.unpersist()
+    w = s.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return w.trigger(**trigger).start() if trigger else w.start()
+
+
+def write_upserts(s: DataFrame, table: str, checkpoint: str, keys: list[str], order: str, buckets: int = keyed.BUCKETS, **trigger):
+    """Keep the last write per key, batch by batch; a micro-batch rewrites the buckets it touches."""
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        keyed.upsert_stored(batch, table, keys, order, batch_id, buckets)
+        batch.unpersist()
     w = s.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return w.trigger(**trigger).start() if trigger else w.start()
 
