@@ -26,6 +26,7 @@ from factorspark.llm.text import member, mix, powers, release, slices
 
 Q, WINDOW, RATE, MIN_CHARS = 8, 80, 0.08, 20
 BLOCK_CHARS = 2_000_000
+HITS = 1_000_000  # shared q-grams that are held at once
 _SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
 
 
@@ -108,8 +109,13 @@ class Index:
         return Index(ids, chars, keys, np.concatenate([[0], np.cumsum(counts)]), owner[order], place[order], w, e)
 
 
-def stretches(index: Index, c: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, band start, first item position, last item position) of every stretch that meets the lemma's bound."""
+def stretches(index: Index, c: np.ndarray, offs: np.ndarray, settled: set[tuple[int, int]] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, band start, first item position, last item position) of every stretch that meets the lemma's bound.
+
+    Places of the text are taken in groups of at most ``HITS`` shared q-grams, each group with the places one window on, which any set of
+    hits that reaches the bound fits in; so a character repeated over a long text and a long item costs no more memory than other text.
+    Pairs in ``settled`` are left out of the groups that follow.
+    """
     found = member(index.keys, grams(c))
     pos = np.flatnonzero(found >= 0)
     if not len(pos):
@@ -119,9 +125,22 @@ def stretches(index: Index, c: np.ndarray, offs: np.ndarray) -> Iterator[tuple[i
     pos, doc = pos[inside], doc[inside]
     key = found[pos]
     count = index.first[key + 1] - index.first[key]
+    group = (np.cumsum(count) - count) // HITS
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    reach = int((index.window + index.edits).max())
+    for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(pos)], strict=True):
+        z = z if z == len(pos) else int(np.searchsorted(pos, pos[z - 1] + reach, "right"))
+        skip = np.array([d * len(index.ids) + m for d, m in settled or ()], np.int64)
+        yield from _group_stretches(index, pos[a:z], doc[a:z], key[a:z], count[a:z], skip)
+
+
+def _group_stretches(index: Index, pos: np.ndarray, doc: np.ndarray, key: np.ndarray, count: np.ndarray, skip: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     at = np.repeat(index.first[key], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     i, doc = np.repeat(pos, count), np.repeat(doc, count)
     item, j = index.item[at], index.position[at]
+    if len(skip):
+        left = ~np.isin(doc * len(index.ids) + item, skip)
+        i, doc, item, j = i[left], doc[left], item[left], j[left]
     width = np.int64(1 << int(max(index.edits.max(initial=0), 1)).bit_length())
     shift = i - j + (1 << 40)
     band, over = shift // width, shift % width
@@ -140,20 +159,29 @@ def stretches(index: Index, c: np.ndarray, offs: np.ndarray) -> Iterator[tuple[i
     ok = ahead < len(i)
     ahead = np.minimum(ahead, max(len(i) - 1, 0))
     ok &= (band[ahead] == band) & (item[ahead] == item) & (doc[ahead] == doc) & (i[ahead] - i <= index.window[item] + index.edits[item] - Q)
+    hit = np.flatnonzero(ok)
+    if not len(hit):
+        return
+    # neighbours share hits, as two or more are needed: they form one run
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) > 1) | (band[hit[1:]] != band[hit[:-1]]) | (item[hit[1:]] != item[hit[:-1]]) | (doc[hit[1:]] != doc[hit[:-1]])
+    start = hit[new]
+    end = hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
+    span = np.column_stack([start, end + need[item[end]]]).ravel()
+    low = np.minimum.reduceat(np.append(j, np.iinfo(j.dtype).max), span)[::2]
+    high = np.maximum.reduceat(np.append(j, -1), span)[::2]
     last = (-1, -1, -1)
     run: list[int] = []
-    for k in np.flatnonzero(ok).tolist():
+    for k, lo, hi in zip(start.tolist(), low.tolist(), high.tolist(), strict=True):
         group = (int(doc[k]), int(item[k]), int(band[k]))
-        reach = j[k:k + int(need[item[k]])]
-        if group == last and run and int(reach.min()) <= run[4]:
-            run[3], run[4] = min(run[3], int(reach.min())), max(run[4], int(reach.max()) + Q)
+        if group == last and run and int(j[k:k + int(need[item[k]])].min()) <= run[4]:
+            run[3], run[4] = min(run[3], lo), max(run[4], hi + Q)
         else:
             if run:
                 yield tuple(run)
-            run = [group[0], group[1], int(band[k] * width - (1 << 40)), int(reach.min()), int(reach.max()) + Q]
+            run = [group[0], group[1], int(band[k] * width - (1 << 40)), lo, hi + Q]
         last = group
-    if run:
-        yield tuple(run)
+    yield tuple(run)
 
 
 def aligned(pattern: np.ndarray, text: np.ndarray, start: int, low: int, high: int) -> tuple[int, int]:
@@ -205,22 +233,32 @@ def matches(index: Index, c: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int
     """(text, item, start, end, edits) of the best verified window of every contaminated (text, item)."""
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     width = 1 << int(max(index.edits.max(initial=0), 1)).bit_length()
-    for doc, item, band, first, last in stretches(index, c, offs):
-        if best.get((doc, item), (1,))[0] == 0:
+    settled: set[tuple[int, int]] = set()
+    failed: dict[int, tuple[int, int, int, bytes]] = {}  # each item's last place that held no window of it
+    for doc, item, band, first, last in stretches(index, c, offs, settled):
+        if (doc, item) in settled:
             continue
         w, e, p = int(index.window[item]), int(index.edits[item]), index.chars[item]
         text, base = c[offs[doc]:offs[doc + 1]], int(offs[doc])
         lo = max(0, min(first, len(p) - w))
+        # a window of the item that holds a shared q-gram starts from first - (w - q) to last - q
+        low, high = max(0, min(first - (w - Q), len(p) - w)), max(0, min(last - Q, len(p) - w))
+        a, z = band - base + min(lo, low) - e, band - base + max(lo, high) + w + width + 2 * e
+        place = (first, last, max(a, 0) - a, text[max(a, 0):max(z, 0)].tobytes())
+        if failed.get(item) == place:  # the same characters on the same diagonals, as in repeated ones
+            continue
         edits, end = aligned(p[lo:lo + w], text, band - base + lo, -e, width + 2 * e)
-        if edits > e:  # a window of the item that holds a shared q-gram starts from first - (w - q) to last - q
-            low, high = max(0, min(first - (w - Q), len(p) - w)), max(0, min(last - Q, len(p) - w))
+        if edits > e:
             every, ends = all_aligned(p, w, low, high, text, band - base, -e, width + 2 * e)
             good = np.flatnonzero(every <= e)
             if not len(good):
+                failed[item] = place
                 continue
             k = good[np.argmin(np.abs(good + low - lo))]
             edits, end = int(every[k]), int(ends[k])
         best[doc, item] = min(best.get((doc, item), (1 << 30, 0, 0)), (edits, max(end - w, 0), end))
+        if edits == 0:
+            settled.add((doc, item))
     for (doc, item), (edits, start, end) in sorted(best.items()):
         yield doc, item, start, end, edits
 
