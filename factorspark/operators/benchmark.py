@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from factorspark.factors.base import CHUNK, FACTORS, SETS, compute_factors
 from factorspark.functions.math import div
-from factorspark.operators import cross_section as cs
 from factorspark.operators import scoring as sc
+from factorspark.operators.rank_moments import rank_moments
 from factorspark.operators.windows import Roll
 from factorspark.session import scratch_path
 
@@ -20,12 +20,12 @@ IC_THRESHOLD = 0.03
 
 
 def library_panel(bars: DataFrame, names: list[str] | None = None, set_name: str = "all", horizon: int = 1, price: str = "close", keys=("symbol", "ts"),
-                  digits: int | None = None, block: int = BLOCK) -> DataFrame:
+                  digits: int | None = None, block: int = BLOCK, own: str | None = None) -> DataFrame:
     """Long panel (symbol, ts, fwd, name, value) of every factor of the list that the bars allow, without missing values.
 
     Factors are computed ``block`` columns at a time; each block is one exchange and one sort over the bars and is written once to the
     shared folder, so that the ranking, which reads its input several times, never computes a window twice. With ``digits`` values are
-    rounded, so that sums taken in another order count as ties.
+    rounded, so that sums taken in another order count as ties. With ``own`` every row also has that factor's value of its bar, as ``own``.
     """
     spark = bars.sparkSession
     roll = Roll(*keys)
@@ -34,21 +34,29 @@ def library_panel(bars: DataFrame, names: list[str] | None = None, set_name: str
     pool = [n for n in dict.fromkeys(pool) if n in FACTORS and set(FACTORS[n].inputs) <= have]
     if not pool:
         raise ValueError("none of the factors can be computed on these bars")
+    if own is not None and own not in pool:
+        raise ValueError(f"factor {own} cannot be computed on these bars")
     need = sorted({c for n in pool for c in FACTORS[n].inputs} | {price})
     base = bars.select(*keys, *need, (div(roll.lead(price, horizon), F.col(price)) - 1).alias("fwd"))
     if len(pool) > block:
         base = _written(base, "library-bars")
     parts = []
     for i in range(0, len(pool), block):
-        wide = _written(compute_factors(base, pool[i:i + block], keys=keys, roll=roll, keep=("fwd",)), "library-block")
-        parts.append(wide.unpivot([*keys, "fwd"], [c for c in wide.columns if c not in (*keys, "fwd")], "name", "value"))
+        names = pool[i:i + block]
+        extra = own is not None and own not in names
+        wide = _written(compute_factors(base, [*names, *([own] if extra else [])], keys=keys, roll=roll, keep=("fwd",)), "library-block")
+        values = [c for c in wide.columns if c not in (*keys, "fwd") and not (extra and c == own)]
+        beside = ["fwd"] if own is None else ["fwd", "own"]
+        wide = wide if own is None else wide.withColumn("own", F.col(own))
+        parts.append(wide.unpivot([*keys, *beside], values, "name", "value"))
     long = reduce(DataFrame.unionByName, parts).filter(F.col("value").isNotNull())
-    return long.withColumn("value", F.round("value", digits)) if digits is not None else long
+    rounded = ["value"] if own is None else ["value", "own"]
+    return long.withColumns({c: F.round(c, digits) for c in rounded}) if digits is not None else long
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -91,11 +99,17 @@ def benchmark_factor(evaluation: DataFrame, panel: DataFrame, name: str, novelty
     """One row: the factor's IC, IR and Sharpe, the means of all others, improvement in |IC|, rank by |IC|, largest absolute rank correlation with
     any other factor over the rows that have both (at least ``min_n``), its name, and whether it is novel.
 
-    The factor's own values meet the panel in one equi join; every other factor is ranked against them in one job.
+    A panel with the column ``own`` (``library_panel``) has the factor's value on every row; otherwise its values meet the panel in one equi join.
     """
-    own = panel.filter(F.col("name") == name).select(*by, F.col("value").alias("_own"))
-    pairs = panel.filter(F.col("name") != name).select("name", *by, "value").join(own, list(by))
-    corr = cs.rank_corr(pairs, ["name"], "_own", "value", min_n).filter(F.col("rank_ic").isNotNull())
+    pairs = panel.filter(F.col("name") != name)
+    if "own" in panel.columns:
+        for k in by:
+            pairs = pairs.filter(F.col(k).isNotNull())
+        pairs = pairs.select("name", F.col("own").alias("_own"), "value")
+    else:
+        own = panel.filter(F.col("name") == name).select(*by, F.col("value").alias("_own"))
+        pairs = pairs.select("name", *by, "value").join(own, list(by))
+    corr = rank_moments(pairs, ["name"], "_own", "value").filter((F.col("n") >= min_n) & F.col("rank_ic").isNotNull())
     size = F.round(F.abs("rank_ic"), 9)
     closest = corr.agg(F.max(size).alias("max_corr"), F.max_by("name", F.struct(size, "name")).alias("closest"))
     others = evaluation.filter(F.col("name") != name).agg(F.avg("ic_mean").alias("lib_ic"), F.avg("ir").alias("lib_ir"), F.avg("sharpe").alias("lib_sharpe"))

@@ -9,6 +9,7 @@ from factorspark.functions.math import corr, div, norm_cdf
 from factorspark.operators import column_corr
 from factorspark.operators import cross_section as cs
 from factorspark.operators.performance import sharpe
+from factorspark.operators.rank_moments import rank_moments
 from factorspark.operators.windows import Roll
 
 
@@ -238,13 +239,11 @@ def evaluate_library(long_df, name="name", x="value", y="fwd", by=("ts",), min_n
     """Per factor of a long panel, in one job: rank IC mean, spread and skew, IR, hit rate, t-based p-value, annual Sharpe of the portfolio that
     holds the standardised ranks of each cross-section, and the rank by |IC|; with ``top_n`` only the best.
 
-    IC and portfolio return come from the same aggregate over the ranks. Cross-sections under ``min_n`` complete rows do not count. |IC| is
+    IC and portfolio return come from the same sums over the ranks (``rank_moments``). Cross-sections under ``min_n`` complete rows do not count. |IC| is
     compared to nine digits, ties by name; an IC that is zero to nine digits is no hit.
     """
     d = long_df.select(name, *by, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = cs.avg_ranks(d, [name, *by], {"_rx": x, "_ry": y})
-    held = div(F.covar_pop("_rx", y), F.stddev_pop("_rx"))
-    g = d.groupBy(name, *by).agg(F.count("*").alias("_k"), corr("_rx", "_ry").alias("rank_ic"), held.alias("_r")).filter(F.col("_k") >= min_n)
+    g = rank_moments(d, [name, *by], x, y).withColumnRenamed("held", "_r").filter(F.col("n") >= min_n).drop("n")
     v, n = F.col("rank_ic"), F.count("rank_ic")
     mean, std = F.avg(v), F.stddev_samp(v)
     skew = F.when(n >= 3, F.skewness(v) * F.sqrt((n * (n - 1)).cast("double")) / (n - 2))

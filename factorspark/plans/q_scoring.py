@@ -321,7 +321,7 @@ _OWN = "CLOSE_MA5_RATIO"
        SELECT ic_mean AS ic, ir, sharpe, lib_ic, lib_ir, lib_sharpe, abs(ic_mean) - abs(lib_ic) AS improvement, rank, max_corr, closest, max_corr < 0.7 AS novel FROM p, o, c WHERE name = '{_OWN}'""",
        "ud", "ic ir sharpe lib_ic lib_ir lib_sharpe improvement max_corr", digits=5)
 def _(t):
-    panel = _panel(t)
+    panel = be.library_panel(t.ud, LIBRARY, digits=9, own=_OWN)
     return be.benchmark_factor(be.evaluate(panel), panel, _OWN)
 
 

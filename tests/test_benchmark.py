@@ -11,6 +11,7 @@ from factorspark.factors import compute_factors
 from factorspark.operators import benchmark as be
 from factorspark.operators import scoring as sc
 from factorspark.operators import vectors as ve
+from factorspark.operators.rank_moments import rank_moments
 from factorspark.session import scratch_path
 
 RNG = np.random.default_rng(11)
@@ -198,3 +199,29 @@ def test_elbow_and_bisecting(groups):
     assert k == int(np.argmax(second)) + 2 and cost[2] < 0.01 * cost[0]
     b = ve.bisecting(groups, 3).join(groups.select("vec_id", "g"), "vec_id").toPandas()
     assert b.groupby("cluster")["g"].nunique().max() == 1 and b["cluster"].nunique() == 3
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 40, 7])
+def test_rank_moments_in_pieces_equal_pandas(spark, rows):
+    """Groups under and over the bound, ties, one very frequent value, NaN, a side that does not vary, NULL keys and values."""
+    rng = np.random.default_rng(5)
+    data = [("a", float(rng.integers(0, 6)), float(rng.normal())) for _ in range(120)] + [("b", float(rng.normal()), 0.0 if rng.random() < 0.8 else float(rng.normal())) for _ in range(90)]
+    data += [("c", float("nan") if i % 4 == 0 else float(i % 7), float(i)) for i in range(30)] + [("d", 1.0, float(i)) for i in range(50)] + [(None, float(i), float(i)) for i in range(50)]
+    df = spark.createDataFrame(data + [("a", None, 1.0), ("a", 1.0, None)], "g STRING, x DOUBLE, y DOUBLE").repartition(3)
+    got = rank_moments(df, ["g"], "x", "y", rows=rows).toPandas().set_index("g")
+    for g, d in pd.DataFrame(data, columns=["g", "x", "y"]).groupby("g"):
+        rx, ry = d["x"].fillna(np.inf).rank(), d["y"].rank()
+        assert got.loc[g, "n"] == len(d)
+        if g == "d":
+            assert pd.isna(got.loc[g, "rank_ic"]) and pd.isna(got.loc[g, "held"])
+        else:
+            assert np.isclose(got.loc[g, "rank_ic"], rx.corr(ry)) and np.isclose(got.loc[g, "held"], np.cov(rx, d["y"], ddof=0)[0, 1] / rx.std(ddof=0))
+    assert got[got.index.isna()]["n"].tolist() == [50] and got[got.index.isna()]["rank_ic"].isna().all()
+
+
+def test_own_values_beside_the_panel(bars, panel):
+    """A panel that carries the factor's own values needs no join of long rows."""
+    beside = be.library_panel(bars, NAMES, block=4, own="ROC5")
+    scores = be.evaluate(beside)
+    got, want = be.benchmark_factor(scores, beside, "ROC5"), be.benchmark_factor(scores, panel, "ROC5")
+    assert np.allclose([got.first()["max_corr"], got.first()["ic"]], [want.first()["max_corr"], want.first()["ic"]]) and got.first()["closest"] == want.first()["closest"]
