@@ -14,12 +14,32 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 DAY = 86400.0
-_STATE = "held STRING, kept STRING, seen BIGINT"
+_STATE = "held BINARY, kept STRING, seen BIGINT"
+# Rows a step gets at a time as Python values; a key's waiting rows stay in columns.
+STEP_ROWS = 10_000
+_NEVER = -(1 << 62)
+
+
+def _plain(b: pd.DataFrame, cols: list[str]) -> pa.Table:
+    return pa.Table.from_pandas(b[cols], preserve_index=False)
+
+
+def _read(held: bytes | None) -> list[pa.Table]:
+    return [pa.ipc.open_stream(held).read_all()] if held else []
+
+
+def _write(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
 
 
 def in_order(s: DataFrame, key: str, cols: list[str], out: str, step: Callable, start, delay: str = "10 minutes", tie: str = "event_id", gone_after: float = 7 * DAY) -> DataFrame:
@@ -30,24 +50,39 @@ def in_order(s: DataFrame, key: str, cols: list[str], out: str, step: Callable,
     names = [f.split()[0] for f in out.split(", ")]
     span = int(gone_after * 1e6)
 
+    order = [(c, "ascending") for c in ("us", tie, *cols)]
+
     def fn(k, batches, state):
-        held, kept, seen = (json.loads(x) if isinstance(x, str) else x for x in state.get) if state.exists else ([], start, 0)
+        held, kept, seen = state.get if state.exists else (None, json.dumps(start), 0)
+        held, kept = _read(bytes(held) if held is not None else None), json.loads(kept)
         upto = state.getCurrentWatermarkMs() * 1000
         if not state.hasTimedOut:
-            for pdf in batches:
-                held.extend(pdf[["us", tie, *cols]].astype(object).where(pdf[["us", tie, *cols]].notna(), None).values.tolist())
-            seen = max([seen, *(r[0] for r in held)])
-        ready = sorted(r for r in held if r[0] <= upto)
-        held = [r for r in held if r[0] > upto]
-        kept, rows, due = step(kept, ready, upto)
-        if not held and due is None and upto >= seen + span:
+            held.extend(_plain(b, [*dict.fromkeys(["us", tie, *cols])]) for b in batches if len(b))
+        t = pa.concat_tables(held, promote_options="permissive") if held else None
+        del held
+        if t is not None and t.num_rows:
+            seen = max(seen, pc.max(t["us"]).as_py())
+            late = pc.greater(t["us"], upto)
+            ready, t = t.filter(pc.invert(late)), t.filter(late)
+            ready = ready.take(pc.sort_indices(ready, sort_keys=order))
+        else:
+            ready = None
+        n = ready.num_rows if ready is not None else 0
+        due = None
+        for i in range(0, max(n, 1), STEP_ROWS):
+            part = ready.slice(i, STEP_ROWS) if n else None
+            rows = [list(r) for r in zip(*(part[c].to_pylist() for c in ("us", tie, *cols)))] if n else []
+            # no deadline passes between two slices: the next row tells, or the watermark after the last one
+            kept, found, due = step(kept, rows, upto if i + STEP_ROWS >= n else _NEVER)
+            if found:
+                yield pd.DataFrame([[k[0], *r] for r in found], columns=[key, *names])
+        left = t is not None and t.num_rows > 0
+        if not left and due is None and upto >= seen + span:
             state.remove()
         else:
-            state.update((json.dumps(held), json.dumps(kept), seen))
-            wanted = [*(r[0] for r in held), *([due] if due is not None else [])] or [seen + span]
+            state.update((_write(t) if left else b"", json.dumps(kept), seen))
+            wanted = [*([pc.min(t["us"]).as_py()] if left else []), *([due] if due is not None else [])] or [seen + span]
             state.setTimeoutTimestamp(max(min(wanted) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame([[k[0], *r] for r in rows], columns=[key, *names])
 
     d = s.withWatermark("ts", delay).select(key, "ts", F.unix_micros("ts").alias("us"), tie, *cols).where("us IS NOT NULL")
     res = d.groupBy(key).applyInPandasWithState(fn, f"{key} {types[key]}, {out}", _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -17,6 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT_TIME = GroupStateTimeout.EventTimeTimeout
 NO_TIMEOUT = GroupStateTimeout.NoTimeout
+# Rows of a key that are Python values at a time.
+STEP_ROWS = 10_000
 
 
 def _rows(batches: Iterable[pd.DataFrame], order: list[str]) -> pd.DataFrame:
@@ -110,25 +112,27 @@ def alert_state(s: DataFrame, threshold: float, hold: float, key: str = "metric"
     out = f"{key} {types[key]}, ts TIMESTAMP, status STRING, value DOUBLE"
 
     def fn(k, batches, state):
-        pdf = _rows(batches, ["ts", tie])
+        # three numbers a row: a key may bring most of a micro-batch
+        pdf = _rows((b[["ts", tie, value]] for b in batches), ["ts", tie])
         since, firing = state.get if state.exists else (-1.0, False)
-        rows = []
-        for ts, v in zip(pdf["ts"], pdf[value]):
-            t = _sec(ts)
-            if v > threshold:
-                if since < 0:
-                    since = t
-                    if hold > 0:
-                        rows.append([k[0], ts, "pending", v])
-                if not firing and t - since >= hold:
-                    firing = True
-                    rows.append([k[0], ts, "firing", v])
-            else:
-                if firing:
-                    rows.append([k[0], ts, "resolved", v])
-                since, firing = -1.0, False
+        for i in range(0, len(pdf), STEP_ROWS):
+            rows = []
+            for ts, v in zip(pdf["ts"].iloc[i:i + STEP_ROWS], pdf[value].iloc[i:i + STEP_ROWS]):
+                t = _sec(ts)
+                if v > threshold:
+                    if since < 0:
+                        since = t
+                        if hold > 0:
+                            rows.append([k[0], ts, "pending", v])
+                    if not firing and t - since >= hold:
+                        firing = True
+                        rows.append([k[0], ts, "firing", v])
+                else:
+                    if firing:
+                        rows.append([k[0], ts, "resolved", v])
+                    since, firing = -1.0, False
+            yield pd.DataFrame(rows, columns=[key, "ts", "status", "value"])
         state.update((since, firing))
-        yield pd.DataFrame(rows, columns=[key, "ts", "status", "value"])
 
     d = s.withWatermark("ts", delay).select(key, "ts", tie, F.col(value).cast("double").alias(value))
     return d.groupBy(key).applyInPandasWithState(fn, out, "since DOUBLE, firing BOOLEAN", "append", NO_TIMEOUT)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorspark.session import scratch_path
-from factorspark.streaming import io, ordered
+from factorspark.streaming import io, ordered, state
 
 SCHEMA = "event_id BIGINT, ts TIMESTAMP, key STRING, value DOUBLE"
 
@@ -164,3 +164,23 @@ def test_late_rows_are_counted_and_silent_keys_go(spark, tmp_path):
     own = {r["event_id"]: r["peak"] for r in spark.read.parquet(f"{base}/out").collect() if r["key"] == "a"}
     assert io.dropped_rows(q) == 1
     assert own == {0: 10.0, 6: 5.0}  # the late row is not counted in; after weeks of silence the key begins anew
+
+
+def test_a_hot_key_is_stepped_in_slices(spark):
+    """A key's rows of one micro-batch stay in columns; a step once got all 25,000 as Python lists."""
+    path = scratch_path(spark, "hot")
+    n = 25_000
+    d = spark.range(n).selectExpr("'k' AS metric", "id AS event_id", "timestamp_seconds(1700000000 + pmod(id * 7919, 25000)) AS ts", "CAST(pmod(id * 7919, 25000) % 100 AS DOUBLE) AS value")
+    d.unionByName(d.limit(1).selectExpr("'other' AS metric", "event_id", "ts + INTERVAL 2 DAYS AS ts", "value")).coalesce(1).write.parquet(path)
+    s = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+    def step(kept, rows, upto):
+        us = [r[0] for r in rows]
+        return max([kept, *us]), [[us[0], len(rows), us == sorted(us) and us[0] > kept]] if us else [], None
+
+    got = io.drain(ordered.in_order(s, "metric", ["value"], "us BIGINT, rows BIGINT, ok BOOLEAN", step, 0), "hot").filter("metric = 'k'").toPandas()
+    assert got["rows"].sum() == n and got["rows"].max() <= ordered.STEP_ROWS and got["ok"].all()
+    fired = io.drain(ordered.alerts(s, 20.0, 30.0), "hot_alerts").filter("metric = 'k'").toPandas()
+    assert (fired["status"] == "pending").sum() == 250 and (fired["status"] == "firing").sum() == 250 and (fired["status"] == "resolved").sum() == 249
+    plain = io.drain(state.alert_state(s, 20.0, 30.0), "hot_state").filter("metric = 'k'").toPandas()
+    assert (plain["status"] == "pending").sum() == 250 and (plain["status"] == "firing").sum() == 250 and (plain["status"] == "resolved").sum() == 249
