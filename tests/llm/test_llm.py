@@ -452,3 +452,14 @@ def test_text_helpers_on_sliced_arrow_columns():
     column = pa.array(["ab", None, "é", "", "x"])[1:4]
     buf, offs = buffers(column)
     assert bytes(buf) == "é".encode() and offs.tolist() == [0, 0, 2, 2]
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """20,000 labelled texts: the means of the model are those of all of them, not of 8,000 per class."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat(concat('word', id % 7, ' '), 1 + CAST(pmod(id * 31, 50) AS INT)) AS text")
+    labels = df.selectExpr("doc_id", "CAST(pmod(doc_id * 31, 50) >= 25 AS BIGINT) AS quality")
+    model = quality.fit(df, labels, F.lit(True))
+    size = df.selectExpr("avg(log1p(length(text)))").first()[0]
+    assert np.isclose(model.centre[0], size, rtol=1e-9)
+    got = quality.score(df, model).join(labels, "doc_id").selectExpr("avg(CAST((score >= 0.7) = (quality = 1) AS INT))").first()[0]
+    assert got > 0.97
